@@ -23,9 +23,9 @@ from tamarack.llm.common import documents, text_udf
 from tamarack.session import ship_package
 
 BLOCK, UNIT, RATE = 4096, 64, 8000
-LPC_ORDER, PRECISION, PARTITION_ORDER = 4, 12, 2
+LPC_ORDER, PRECISION, PARTITION_ORDER = 2, 12, 2
 #: Samples that are worked on side by side; bounds the memory of a worker, not what it can read.
-CELLS = 1 << 19
+CELLS = 1 << 20
 
 
 class FlacError(ValueError):
@@ -111,8 +111,8 @@ def _fold(r: np.ndarray) -> np.ndarray:
 
 def _linear(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Quantized linear predictors (rows, LPC_ORDER) and their shifts, by autocorrelation and Levinson's recursion."""
-    z = x.astype(np.float64)
-    lags = np.stack([(z[:, : z.shape[1] - lag] * z[:, lag:]).sum(axis=1) for lag in range(LPC_ORDER + 1)], axis=1)
+    z = x.astype(np.float32)
+    lags = np.stack([np.einsum("rt,rt->r", z[:, : z.shape[1] - lag], z[:, lag:]) for lag in range(LPC_ORDER + 1)], axis=1).astype(np.float64)
     error = lags[:, 0] * (1 + 1e-9) + 1e-9
     a = np.zeros((len(x), LPC_ORDER))
     for i in range(LPC_ORDER):
@@ -127,53 +127,58 @@ def _linear(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _residuals(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Folded residuals, order and type (0 to 2: fixed order, 3: linear), predictors and shifts of every row."""
-    inside = np.arange(x.shape[1]) < sizes[:, None]
-    x = np.where(inside, x, 0).astype(np.int32)
+    """Folded residuals, order and type (0 and 1: fixed order, 3: linear), predictors and shifts of every row.
+
+    ``x`` must hold zeros beyond ``sizes``.
+    """
     coefs, shift = _linear(x, sizes)
-    pred = np.zeros(x.shape, dtype=np.int32)
-    for j in range(LPC_ORDER):
-        pred[:, LPC_ORDER:] += coefs[:, j, None].astype(np.int32) * x[:, LPC_ORDER - 1 - j : x.shape[1] - 1 - j]
+    pred = coefs[:, 0, None].astype(np.int32) * x[:, LPC_ORDER - 1 : -1]
+    for j in range(1, LPC_ORDER):
+        pred += coefs[:, j, None].astype(np.int32) * x[:, LPC_ORDER - 1 - j : x.shape[1] - 1 - j]
     pred >>= shift[:, None].astype(np.int32)
-    one = np.diff(x, axis=1, prepend=0)
-    two = np.diff(one, axis=1, prepend=0)
-    choices = [_fold(x), _fold(one), _fold(two), _fold(x - pred)]
-    orders = np.array([0, 1, 2, LPC_ORDER])
+    best = x.copy()
+    best[:, LPC_ORDER:] -= pred
+    choices = [_fold(x), _fold(np.diff(x, axis=1, prepend=0)), _fold(best)]
+    orders, kinds = np.array([0, 1, LPC_ORDER]), np.array([0, 1, 3])
+    short = np.flatnonzero(sizes < x.shape[1])
     for c, order in zip(choices, orders, strict=True):
-        c[~inside] = 0
+        for r in short:
+            c[r, sizes[r] :] = 0
         c[:, :order] = 0
     costs = np.stack([c.sum(axis=1, dtype=np.int64) for c in choices], axis=1)
-    costs[:, 3] += 60  # predictor and warm-up
-    kind = costs.argmin(axis=1)
+    costs[:, 2] += 60  # predictor and warm-up
+    pick = costs.argmin(axis=1)
     folded = choices[0]
-    for i in (1, 2, 3):
-        rows = kind == i
+    for i in (1, 2):
+        rows = pick == i
         folded[rows] = choices[i][rows]
-    return folded, orders[kind], kind, coefs, shift
+    return folded, orders[pick], kinds[pick], coefs, shift
 
 
 def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> None:
     for j in range(width):
-        bits[at + j] = (values >> (width - 1 - j)) & 1
+        bits[at if not j else at + j] = (values >> (width - 1 - j)) & 1
 
 
 def encode_blocks(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """Frames of blocks of signed 8-bit samples: (rows, longest) with ``sizes`` used; sizes are multiples of 4."""
     rows, longest = samples.shape
-    folded, order, kind, coefs, shift = _residuals(samples, sizes)
+    folded, order, kind, coefs, shift = _residuals(samples.astype(np.int32), sizes)
     parts = 1 << PARTITION_ORDER
-    step = sizes >> PARTITION_ORDER
-    owner, place = np.nonzero((np.arange(longest) >= order[:, None]) & (np.arange(longest) < sizes[:, None]))
-    part = place // step[owner]
-    cell = owner * parts + part
-    u = folded[owner, place]
-    counts = np.bincount(cell, minlength=rows * parts)
-    mean = np.bincount(cell, weights=u, minlength=rows * parts) / np.maximum(counts, 1)
-    k = np.clip(np.floor(np.log2(mean * 0.75 + 0.5)), 0, 14).astype(np.int64)
-    kk = k[cell]
+    counts = np.repeat((sizes >> PARTITION_ORDER)[:, None], parts, axis=1)
+    counts[:, 0] -= order
+    counts = counts.ravel()
+    place = np.arange(longest, dtype=np.int32)
+    u = folded[(place >= order[:, None]) & (place < sizes[:, None])]
+    opening = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    mean = np.add.reduceat(u, opening, dtype=np.int64) / counts
+    k = np.clip(np.floor(np.log2(mean * 0.75 + 0.5)), 0, 14).astype(np.int32)
+    kk = np.repeat(k, counts)
     q = u >> kk
-    lens = q + 1 + kk
-    payload = np.bincount(owner, weights=lens, minlength=rows).astype(np.int64)
+    lens = q + kk
+    lens += 1
+    spent = np.add.reduceat(lens, opening, dtype=np.int64).reshape(rows, parts)
+    payload = spent.sum(axis=1)
     fore = 8 + 8 * order + np.where(kind == 3, 9 + LPC_ORDER * PRECISION, 0)  # header, warm-up, predictor
     coded = fore + 6 + 4 * parts + payload
     verbatim = coded >= 8 + 8 * sizes
@@ -204,19 +209,20 @@ def encode_blocks(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -
     rest = at + fore
     coded_rows = np.flatnonzero(~verbatim)
     _put(bits, rest[coded_rows], np.full(len(coded_rows), PARTITION_ORDER), 6)
-    spent = np.bincount(cell, weights=lens, minlength=rows * parts).astype(np.int64).reshape(rows, parts)
     opens = rest[:, None] + 6 + 4 * np.arange(parts) + np.cumsum(spent, axis=1) - spent
     _put(bits, opens[coded_rows].ravel(), k.reshape(rows, parts)[coded_rows].ravel(), 4)
-    keep = ~verbatim[owner]
-    before = np.cumsum(lens) - lens
-    first = np.concatenate(([0], np.cumsum(payload)[:-1]))
-    start = rest[owner] + 6 + 4 * (part + 1) + before - first[owner]
-    start, q, u, kk = start[keep], q[keep], u[keep], kk[keep]
-    stop = start + q
+    ends = np.cumsum(lens, dtype=np.int64)
+    base = opens.ravel() + 4 - (ends[opening] - lens[opening])
+    stop = ends - lens
+    stop += q
+    stop += np.repeat(base, counts)
+    if len(plain):
+        keep = np.repeat(np.repeat(~verbatim, parts), counts)
+        stop, u, kk = stop[keep], u[keep], kk[keep]
     bits[stop] = 1
     for width in np.unique(kk):
         if width:
-            mine = kk == width
+            mine = np.flatnonzero(kk == width)
             _put(bits, stop[mine] + 1, u[mine], int(width))
     flat = np.packbits(bits)
     for h, b in zip(heads, begin, strict=True):
@@ -380,19 +386,21 @@ def _rice(bits: np.ndarray, pos: np.ndarray, sizes: np.ndarray, order: np.ndarra
         raise FlacError("only four-bit Rice parameters are supported")
     span = sizes >> _peek(bits, pos + 2, 4)
     pos = pos + 6
-    n = len(bits)
-    following = np.where(bits, np.arange(n, dtype=np.int64), n)
-    following = np.minimum.accumulate(following[::-1])[::-1]  # next set bit at or after each place
-    starts = np.zeros((longest, len(pos)), dtype=np.int64)
-    stops = np.zeros((longest, len(pos)), dtype=np.int64)
+    ones = np.flatnonzero(bits).astype(np.int32)
+    # next set bit at or after each place; places after the last one point past the end
+    following = np.repeat(np.append(ones, np.int32(len(bits))), np.diff(ones, prepend=-1, append=len(bits)))
+    pos = pos.astype(np.int32)
+    starts = np.zeros((longest, len(pos)), dtype=np.int32)
+    stops = np.zeros((longest, len(pos)), dtype=np.int32)
     params = np.zeros((longest, len(pos)), dtype=np.int8)
-    k = np.zeros(len(pos), dtype=np.int64)
+    k = np.zeros(len(pos), dtype=np.int32)
+    after = k + 1
     border = np.zeros(len(pos), dtype=np.int64)
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # rows with more than t samples
+    active = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # rows with more than t samples
     warming = int(order.max(initial=0))
     nearest = 0
     for t in range(longest):
-        live = int(active[t])
+        live = active[t]
         if t >= nearest:
             fresh = np.flatnonzero(border[:live] == t)
             if len(fresh):
@@ -401,22 +409,32 @@ def _rice(bits: np.ndarray, pos: np.ndarray, sizes: np.ndarray, order: np.ndarra
                     raise FlacError("escaped partitions are not supported")
                 pos[fresh] += 4
                 border[fresh] += span[fresh]
+                after = k + 1
             nearest = int(border[:live].min()) if live else longest
-        p = pos[:live]
         if t < warming:
             use = np.flatnonzero(order[:live] <= t)
-            stop = following[p[use]]
-            starts[t, use], stops[t, use], params[t, use] = p[use], stop, k[use]
-            pos[use] = stop + 1 + k[use]
+            stop = following[pos[use]]
+            starts[t, use], stops[t, use], params[t, use] = pos[use], stop, k[use]
+            pos[use] = stop + after[use]
         else:
-            stop = following[p]
-            starts[t, :live], stops[t, :live], params[t, :live] = p, stop, k[:live]
-            pos[:live] = stop + 1 + k[:live]
-    u = (stops - starts).astype(np.int64)
-    for width in range(1, int(params.max(initial=0)) + 1):
-        mine = np.nonzero(params >= width)
-        u[mine] = u[mine] << 1 | bits[stops[mine] + width]
-    return ((u >> 1) ^ -(u & 1)).astype(np.int32)
+            p = pos[:live]
+            starts[t, :live] = p
+            params[t, :live] = k[:live]
+            stop = following.take(p)
+            stops[t, :live] = stop
+            np.add(stop, after[:live], out=p)
+    # the low bits of a code lie in the three bytes from its stop bit's successor on
+    raw = np.packbits(bits).astype(np.int32)
+    raw = np.concatenate((raw, np.zeros(3, dtype=np.int32)))
+    window = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    u = stops - starts
+    stops += 1
+    low = window.take(stops >> 3)
+    stops &= 7
+    low >>= 24 - stops - params
+    u <<= params
+    u |= low & ((np.int32(1) << params.astype(np.int32)) - 1)
+    return (u >> 1) ^ -(u & 1)
 
 
 def _restore(residual: np.ndarray, warm: np.ndarray, order: np.ndarray, linear: np.ndarray, coefs: np.ndarray, shift: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -441,7 +459,11 @@ def _restore(residual: np.ndarray, warm: np.ndarray, order: np.ndarray, linear:
         c = np.ascontiguousarray(coefs[:o, rows][::-1])
         s = shift[rows]
         for t in range(int(o), int(sizes[rows].max())):
-            y[t] += np.einsum("jr,jr->r", c, y[t - o : t]) >> s
+            pred = y[t - 1] * c[-1]
+            for j in range(2, int(o) + 1):
+                pred += y[t - j] * c[-j]
+            pred >>= s
+            y[t] += pred
         x[:, rows] = y
     return x
 
