@@ -25,7 +25,9 @@ from tamarack.session import ship_package
 BLOCK, UNIT, RATE = 4096, 64, 8000
 LPC_ORDER, PRECISION, PARTITION_ORDER = 2, 12, 2
 #: Samples that are worked on side by side; bounds the memory of a worker, not what it can read.
-CELLS = 1 << 20
+CELLS = 1 << 19
+#: Payload bytes of an Arrow batch that are encoded or decoded at a time (a single longer text is taken alone).
+SLICE = 4 << 20
 
 
 class FlacError(ValueError):
@@ -525,19 +527,38 @@ def features(payload: bytes) -> str:
     return f"n={n};mean={int(x.sum()) * 1000 // n};power={int((x * x).sum()) * 1000 // n};zc={crossings};min={int(x.min())};max={int(x.max())}"
 
 
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Consecutive stretches of about SLICE bytes."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > SLICE:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def _encode_batch():
-    return lambda texts: {"media": encode([payload_of(t) for t in texts])}
+    def batch(texts: list) -> dict:
+        media: list[bytes] = []
+        for part in _slices([len(t or "") for t in texts]):
+            media += encode([payload_of(t) for t in texts[part]])
+        return {"media": media}
+
+    return batch
 
 
 def _decode_batch():
     def batch(media: list) -> dict:
-        payloads = decode(media)
-        return {
-            "payload_bytes": [len(p) for p in payloads],
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-            "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in payloads],
-            "feature": [features(p) for p in payloads],
-        }
+        out: dict[str, list] = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "feature": []}
+        for part in _slices([len(m) for m in media]):
+            for payload in decode(media[part]):
+                out["payload_bytes"].append(len(payload))
+                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
+                out["tail_crc32"].append(zlib.crc32(payload[-UNIT:]))
+                out["feature"].append(features(payload))
+        return out
 
     return batch
 
