@@ -1 +1,3 @@
-"""Tamarack plans."""
+"""Registered queries; importing the package registers all of them."""
+
+from tamarack.plans import ranking, registry  # noqa: F401
