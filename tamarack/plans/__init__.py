@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from tamarack.plans import feedback, ranking, registry  # noqa: F401
+from tamarack.plans import datasets, feedback, ranking, registry  # noqa: F401

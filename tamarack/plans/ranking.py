@@ -75,7 +75,7 @@ def mention_match(spark, d):
 
 
 @query("tiered_resolve", """WITH ask AS (SELECT DISTINCT lower(p_brand) AS q FROM part UNION SELECT 'small ring' UNION SELECT 'brand#1' UNION SELECT 'nothing'),
-m AS (SELECT q, p_partkey, CASE WHEN lower(p_brand) || ' ' || p_name = q THEN 1 WHEN p_name = q THEN 2 WHEN contains(lower(p_brand) || ' ' || p_name, q) THEN 3 END AS tier FROM ask JOIN part ON p_partkey <= 40 AND contains(lower(p_brand) || ' ' || p_name, q)),
+m AS (SELECT q, p_partkey, CASE WHEN lower(p_brand) || ' ' || p_name = q THEN 1 WHEN p_name = q THEN 2 WHEN contains(lower(p_brand) || ' ' || p_name, q) THEN 3 END AS tier FROM ask JOIN part ON contains(lower(p_brand) || ' ' || p_name, q)),
 b AS (SELECT q, p_partkey, tier FROM (SELECT *, min(tier) OVER (PARTITION BY q) AS best FROM m) WHERE tier = best)
 SELECT q, min(tier) AS tier, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS resolved FROM b GROUP BY q""")
 def tiered_resolve(spark, d):
@@ -84,7 +84,7 @@ def tiered_resolve(spark, d):
     literal = spark.createDataFrame([("small ring",), ("brand#1",), ("nothing",)], "q string")
     ask = parts.select(F.lower("p_brand").alias("q")).union(literal).distinct()
     full = F.concat(F.lower("p_brand"), F.lit(" "), F.col("p_name"))
-    m = parts.where("p_partkey <= 40").join(F.broadcast(ask), F.contains(full, F.col("q"))).withColumn("tier", F.when(full == F.col("q"), 1).when(F.col("p_name") == F.col("q"), 2).otherwise(3))
+    m = parts.join(F.broadcast(ask), F.contains(full, F.col("q"))).withColumn("tier", F.when(full == F.col("q"), 1).when(F.col("p_name") == F.col("q"), 2).otherwise(3))
     best = m.withColumn("best", F.min("tier").over(W.partitionBy("q"))).where("tier = best")
     return best.groupBy("q").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.min("p_partkey").alias("one")).select("q", "tier", "n", F.when(F.col("n") == 1, F.col("one")).alias("resolved"))
 
