@@ -53,9 +53,10 @@ def chunks(c, size: int, stride: int):
 
 
 def char_ngrams(c, n: int):
-    """All character n-grams in order; none if the text is shorter."""
+    """All character n-grams in order; none if the text is shorter. Linear in the length of the text."""
     none = F.array().cast("array<string>")
-    return once(c, lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, n))).otherwise(none))
+    gram = lambda cs, i: F.concat(*(F.element_at(cs, i + j) for j in range(n)))
+    return once(F.split(c, ""), lambda cs: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: gram(cs, i))).otherwise(none))
 
 
 def masked_secret(c):

@@ -1 +1,92 @@
-"""Tamarack sources."""
+"""Readers and writers: lenient CSV, strict and lenient JSON lines, markdown vaults, ZIP members, exclusive sinks."""
+
+from __future__ import annotations
+
+import io
+import json
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+def read_csv_lenient(spark: SparkSession, path: str, text: list[str], numbers: list[str]) -> DataFrame:
+    """CSV with a header; numeric fields that cannot be read become 0, a byte-order mark is dropped."""
+    schema = StructType([StructField(c, StringType()) for c in [*text, *numbers]])
+    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    raw = raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
+    out = raw.select(*(F.col(f.name) for f in schema))
+    return out.select(*text, *(F.coalesce(F.expr(f"try_cast(replace(trim(`{c}`), ',', '') as double)"), F.lit(0.0)).alias(c) for c in numbers))
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantine of blank, broken or non-object lines with their reason)."""
+    lines = spark.read.text(path)
+    parsed = F.try_parse_json("value")
+    kind = F.schema_of_variant(parsed)
+    reason = F.when(F.trim("value") == "", "blank").when(parsed.isNull(), "broken").when(~kind.startswith("OBJECT"), "not an object")
+    tagged = lines.withColumn("reason", reason)
+    return tagged.where("reason is null").select(F.from_json("value", schema).alias("r")).select("r.*"), tagged.where("reason is not null")
+
+
+def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all lines that are not blank."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def read_vault(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown notes: path, title from the front matter or the file name, body, sorted distinct wiki links."""
+    notes = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.input_file_name())
+    body = F.regexp_replace("value", "(?s)^---\\n.*?\\n---\\n", "")
+    title = F.coalesce(F.nullif(F.regexp_extract("value", "(?m)^title:\\s*(.+)$", 1), F.lit("")), F.regexp_extract("path", "([^/]+)\\.md$", 1))
+    links = F.array_sort(F.array_distinct(F.regexp_extract_all("value", F.lit("\\[\\[([^\\]|#]+)"), F.lit(1))))
+    return notes.select("path", title.alias("title"), body.alias("body"), links.alias("links"))
+
+
+def read_zip_json(spark: SparkSession, path: str, inside: str = "/src/", limit: int | None = None) -> DataFrame:
+    """(member, value) of JSON members under ``inside`` of ZIP files, in name order; ``limit`` members of each file."""
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as bundle:
+                    names = [n for n in sorted(bundle.namelist()) if inside in n and n.endswith(".json")][:limit]
+                    rows = [(n, json.dumps(json.loads(bundle.read(n)), ensure_ascii=False)) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.string()) for i in (0, 1)], names=["member", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzip, "member string, value string")
+
+
+def write_jsonl(df: DataFrame, path: str, key: str) -> None:
+    """One JSON object a line in key order; an existing target is an error."""
+    df.orderBy(key).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_csv_quoted(df: DataFrame, path: str) -> None:
+    """CSV with every cell quoted and quotes doubled."""
+    df.write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def replace_if_changed(spark: SparkSession, df: DataFrame, path: str) -> bool:
+    """Reload a table when its number of rows differs from the source's."""
+    try:
+        same = spark.read.parquet(path).count() == df.count()
+    except Exception as missing:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        same = False
+    if not same:
+        df.write.mode("overwrite").parquet(path)
+    return not same
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, for sidecars and their check."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
