@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space of the identity key.
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
@@ -17,14 +18,14 @@ def ascii_key(c):
     return F.lower(F.trim(F.regexp_replace(c, SPACES, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Identity key of any text: NFKC, collapsed white space, case folded. Null stays null."""
     for s in batches:
         yield s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_token(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, case folded, letters, digits and ``+ - .`` only."""
     for s in batches:
