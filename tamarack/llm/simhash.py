@@ -75,7 +75,7 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(words * 64, dtype=np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # (n, BITS)
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64).reshape(BITS, words)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64).reshape(BITS, words)
 
 
 def within_radius(planes: np.ndarray, fp: int, radius: int, valid: np.ndarray, order: np.ndarray) -> np.ndarray:

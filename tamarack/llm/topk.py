@@ -58,8 +58,11 @@ class Shard:
         least = None
         if len(seeds) >= k:
             least = int(np.partition(self.vectors[seeds] @ query, len(seeds) - k)[len(seeds) - k])
-        if least is None or least <= 0:
-            alive, scores, essential = np.arange(n), self.vectors @ query, 0  # scores of zero and less need every vector
+        if self.vectors.dtype == object:  # sums beyond 2**53: exact, cut to 64 bits before they are ranked
+            alive = np.arange(n)
+            scores = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in self.vectors @ query], dtype=np.int64)
+        elif least is None or least <= 0:
+            alive, scores = np.arange(n), self.vectors @ query  # scores of zero and less need every vector
         else:
             essential = int(np.searchsorted(below, least, side="left"))  # order[:essential] together stay under the threshold
             met = np.zeros(n, dtype=bool)
@@ -82,7 +85,8 @@ class Shard:
             border = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= border
             alive, scores = alive[keep], scores[keep]
-        best = np.lexsort((alive, self.ids[alive], -scores))[:k]
+        falling = ~scores if scores.dtype == np.int64 else -scores
+        best = np.lexsort((alive, self.ids[alive], falling))[:k]
         return [(int(scores[i]), int(alive[i])) for i in best]
 
 
@@ -120,7 +124,7 @@ def _search(batches: Iterator[pa.RecordBatch], queries, k: int, scale: int) -> I
         dims = max(vectors.shape[1], asked.shape[1])
         mine, theirs = _safe(_same_width(vectors, dims), _same_width(asked, dims))
         shard = Shard(np.concatenate(held_ids), mine)
-        out = [(q, int(shard.ids[at]), max(-(2**63), min(2**63 - 1, score))) for q, row in zip(query_ids, theirs, strict=True) for score, at in shard.search(q, row, k)]
+        out = [(q, int(shard.ids[at]), score) for q, row in zip(query_ids, theirs, strict=True) for score, at in shard.search(q, row, k)]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     for batch in batches:
@@ -145,7 +149,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "e
     Vectors that are null, or hold a null or non-finite component, take no part. Vectors of different
     lengths are compared as if padded with zeros; empty ones score 0. Repeated rows are candidates of their
     own; a query id that is repeated asks once, with its smallest vector. Rows with a null id take no part.
-    Scores beyond a signed 64-bit number are cut to it.
+    Scores beyond a signed 64-bit number are cut to it before they are ranked.
 
     Queries reach the shards by broadcast, at most QUERY_ROWS of them at a time, so what is broadcast
     stays bounded however many there are.
