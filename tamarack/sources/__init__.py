@@ -39,7 +39,7 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes: path, title from the front matter or the file name, body, sorted distinct wiki links."""
-    notes = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.input_file_name())
+    notes = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.input_file_name())
     body = F.regexp_replace("value", "(?s)^---\\n.*?\\n---\\n", "")
     title = F.coalesce(F.nullif(F.regexp_extract("value", "(?m)^title:\\s*(.+)$", 1), F.lit("")), F.regexp_extract("path", "([^/]+)\\.md$", 1))
     links = F.array_sort(F.array_distinct(F.regexp_extract_all("value", F.lit("\\[\\[([^\\]|#]+)"), F.lit(1))))
