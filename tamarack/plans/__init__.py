@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from tamarack.plans import datasets, feedback, metrics, ranking, registry  # noqa: F401
+from tamarack.plans import answers, datasets, feedback, metrics, profiles, ranking, registry  # noqa: F401
