@@ -60,6 +60,38 @@ def read_zip_json(spark: SparkSession, path: str, inside: str = "/src/", limit:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzip, "member string, value string")
 
 
+def _questions(value) -> Iterator[str]:
+    """Strings under ``query``, and the content of user messages, at any depth; blank ones are no questions."""
+    todo = [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, dict):
+            found = [item.get("query"), item.get("content") if item.get("role") == "user" else None]
+            yield from (x for x in found if isinstance(x, str) and x.strip())
+            todo += item.values()
+        elif isinstance(item, list):
+            todo += item
+
+
+def scan_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(path, query) of the different questions of each JSON and JSONL file under a folder. Broken JSON is an error that names its file."""
+    read = lambda glob, whole: spark.read.text(path, wholetext=whole, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), "value")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, queries = [], []
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = set(_questions(json.loads(value))) if value.strip() else ()
+                except json.JSONDecodeError as error:
+                    raise ValueError(f"invalid JSON: {name}") from error
+                paths += [name] * len(found)
+                queries += found
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(queries, pa.string())], names=["path", "query"])
+
+    return read("*.json", True).unionAll(read("*.jsonl", False)).mapInArrow(walk, "path string, query string").distinct()
+
+
 def write_jsonl(df: DataFrame, path: str, key: str) -> None:
     """One JSON object a line in key order; an existing target is an error."""
     df.orderBy(key).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("errorifexists").text(path)

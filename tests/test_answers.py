@@ -3,9 +3,12 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tamarack import sources
 from tamarack.operators import answers as A
+from tamarack.operators import audit
 from tamarack.operators import profile as P
 
 
@@ -71,3 +74,39 @@ def test_names_and_copies_of_nothing(spark):
     df = spark.createDataFrame([("", "")], "x string, e string")
     row = df.select(A.copy_ratio(df.x, df.e), A.duplicate_ratio(df.x, F.split("e", " ")), P.vehicle_mentions(df.x)).first()
     assert tuple(row) == (0.0, 0.0, [])
+
+
+def test_grounding_audit_hand_cases(spark):
+    rows = [
+        ("续航 10-20 km", "续航20至10公里", []),
+        ("12 kWh", "12.50度", ["unsupported hard claim: 12 kWh"]),
+        ("12.5度，12.5 度", None, ["unsupported hard claim: 12.5度"]),
+        ("[2] 手册\n见[2]和[10]", "手册", ["unsupported bracket citation: [10]"]),
+        ("[2] 年报", "手册", ["unsupported bracket source: [2] 年报"]),
+        ("提供质保5年，请向官方确认。", "", []),
+        (None, "x", ["answer is missing"]),
+        ("", "", []),
+    ]
+    df = spark.createDataFrame([(i, a, e) for i, (a, e, _) in enumerate(rows)], "i int, a string, e string")
+    got = {r["i"]: r["x"] for r in df.select("i", audit.grounding_errors(F.col("a"), F.col("e")).alias("x")).collect()}
+    assert got == {i: x for i, (_, _, x) in enumerate(rows)}
+
+
+def test_risks_and_scenarios_of_cases_without_rows(spark):
+    cases = spark.createDataFrame([(1, 10.0, False), (2, None, None)], "k int, budget double, home_charger boolean")
+    ranked = spark.createDataFrame([(2, 1, 99.0, "electric", None, 0)], "k int, rank int, price double, energy string, quality double, cautions int")
+    assert {r["k"]: r["risks"] for r in audit.risk_checks(cases, ranked, "k").collect()} == {1: ["no candidates"], 2: ["none"]}
+    asked = spark.createDataFrame([(1, ["a"], None, [], None), (2, None, None, None, None)], "k int, model_any array<string>, top_all array<string>, energy_any array<string>, type_any array<string>")
+    rows = audit.scenario_checks(asked, spark.createDataFrame([], "k int, rank int, name string, energy string, type string"), "k").collect()
+    assert {r["k"]: (r["passed"], r["checks"], r["status"]) for r in rows} == {1: (0, 1, "fail"), 2: (0, 0, "fail")}
+
+
+def test_questions_at_any_depth(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.json").write_text('[{"x": [{"query": "q1"}]}, {"role": "user", "content": "q2"}, {"role": "assistant", "content": "no"}, {"query": " "}]')
+    (tmp_path / "b.jsonl").write_text('{"query": "q1"}\n\n{"query": {"query": "q3"}}\n{"query": "q1"}\n')
+    got = sorted((r["path"].rsplit("/", 1)[1], r["query"]) for r in sources.scan_questions(spark, str(tmp_path)).collect())
+    assert got == [("a.json", "q1"), ("a.json", "q2"), ("b.jsonl", "q1"), ("b.jsonl", "q3")]
+    (tmp_path / "c.json").write_text("{")
+    with pytest.raises(Exception, match="invalid JSON"):
+        sources.scan_questions(spark, str(tmp_path)).collect()
