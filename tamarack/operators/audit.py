@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import once
@@ -114,3 +115,18 @@ def scenario_checks(cases: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
     passed = sum(F.when((F.size(none(c)) > 0) & F.coalesce(ok, F.lit(False)), 1).otherwise(0) for c, ok in rules)
     s = j.select(key, passed.alias("passed"), asked.alias("checks")).withColumn("score", F.round(F.col("passed") / F.greatest(F.col("checks"), F.lit(1)) * 100, 1))
     return s.withColumn("status", F.when(F.col("score") >= PASS, "pass").when(F.col("score") >= WARN, "warn").otherwise("fail"))
+
+
+def explain_top(ranked: DataFrame, key: str, roomy: tuple[str, ...] = ("SUV", "MPV")) -> DataFrame:
+    """(key, rank, best_for, stronger) of the three best rows of every case.
+
+    ``ranked``: key, rank, type, home_charger, concerns and the scores ``budget``, ``space`` and ``charging`` (null: 0).
+    ``stronger`` names the scores that no other of the three exceeds; a row without others has ``too few``.
+    """
+    all_of = W.partitionBy(key)
+    worried = lambda word: F.coalesce(F.array_contains("concerns", word), F.lit(False))
+    best_for = F.when(worried("空间") & F.col("type").isin(*roomy), "space").when(worried("补能") | F.coalesce(~F.col("home_charger"), F.lit(False)), "charging").when(worried("智驾"), "assistance").otherwise("balance")
+    score = lambda c: F.coalesce(F.col(c), F.lit(0))
+    stronger = F.array_compact(F.array(*(F.when(score(c) >= F.max(score(c)).over(all_of), c) for c in ("budget", "space", "charging"))))
+    top = ranked.where("rank <= 3")
+    return top.select(key, "rank", best_for.alias("best_for"), F.when(F.count("*").over(all_of) == 1, F.array(F.lit("too few"))).otherwise(stronger).alias("stronger"))

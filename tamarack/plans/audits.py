@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.operators import audit as A
+from tamarack.operators import profile as P
 from tamarack.operators import rank as R
+from tamarack.plans import profiles
 from tamarack.plans.registry import query
 from tamarack.session import table as t
 
@@ -63,3 +65,15 @@ def scenario_checks(spark, d):
     )
     ranked = _ranked(spark, d).select("c_custkey", "rank", (F.col("p_partkey") % 7).alias("name"), "energy", F.col("p_type").alias("type"))
     return A.scenario_checks(cases, ranked, "c_custkey")
+
+
+@query("explain_top", f"""WITH {RANKED_SQL}, {profiles.PROFILE_SQL}, m AS (SELECT r.c_custkey, rank, r.p_type, home_charger, concerns, 2000 - cat.price AS budget, cat.wheelbase AS space, cat.range_km AS charging FROM r JOIN cat USING (p_partkey) JOIN (SELECT c_custkey, concerns, has_home_charger AS home_charger FROM p) q ON q.c_custkey = r.c_custkey WHERE rank <= 3),
+o AS (SELECT x.c_custkey, x.rank, count(y.rank) AS others, coalesce(max(y.budget), -1) AS b, coalesce(max(y.space), -1) AS s, coalesce(max(y.charging), -1) AS c FROM m x LEFT JOIN m y ON x.c_custkey = y.c_custkey AND x.rank <> y.rank GROUP BY ALL)
+SELECT c_custkey, CAST(rank AS INT) AS rank, CASE WHEN list_contains(concerns, '空间') AND p_type = 'LARGE' THEN 'space' WHEN list_contains(concerns, '补能') OR coalesce(NOT home_charger, FALSE) THEN 'charging' WHEN list_contains(concerns, '智驾') THEN 'assistance' ELSE 'balance' END AS best_for,
+CASE WHEN others = 0 THEN 'too few' ELSE concat_ws('|', CASE WHEN budget >= b THEN 'budget' END, CASE WHEN space >= s THEN 'space' END, CASE WHEN charging >= c THEN 'charging' END) END AS stronger FROM m JOIN o USING (c_custkey, rank)""")
+def explain_top(spark, d):
+    """What the three best rows of every customer suit, and where none of the others is better."""
+    rows = R.catalog(t(spark, d, "part")).select("p_partkey", F.col("p_type").alias("type"), (2000 - F.col("price")).alias("budget"), F.col("wheelbase").alias("space"), F.col("range_km").alias("charging"))
+    asked = P.with_profile(profiles.questions(spark, d), cities=profiles.CITIES).select("c_custkey", "concerns", F.col("has_home_charger").alias("home_charger"))
+    ranked = R.rank_profiles(t(spark, d, "customer"), t(spark, d, "part"), k=3).join(rows, "p_partkey").join(asked, "c_custkey")
+    return A.explain_top(ranked, "c_custkey", ("LARGE",)).withColumn("stronger", F.array_join("stronger", "|"))
