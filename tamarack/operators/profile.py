@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import once
+
 #: Words of a question and what they stand for, in the order in which they are tried.
 BUDGET = r"([0-9]+(?:\.[0-9]+)?)\s*(万|w|W)"
 COMMUTE = r"通勤.*?([0-9]+(?:\.[0-9]+)?)\s*(公里|km|KM)"
@@ -52,6 +54,16 @@ VEHICLES = [
     *(f"{brand}{SPACE}*{MARK}" for brand in ("奔驰", "宝马", "问界", "享界", "尊界", "小鹏", "理想")),
 ]
 MAX_VEHICLES = 6
+TITLE_MODELS = [
+    rf"(BMW|宝马){SPACE}*([A-Za-z0-9系]+)",
+    rf"(Mercedes|奔驰){SPACE}*([A-Za-z0-9级]+)",
+    rf"(Porsche|保时捷){SPACE}*([A-Za-z0-9]+)",
+    rf"(Tesla|特斯拉){SPACE}*(Model{SPACE}*[A-Za-z0-9]+)",
+    rf"(Polestar|极星){SPACE}*([A-Za-z0-9]+)",
+    rf"(MG|名爵){SPACE}*([A-Za-z0-9]+)",
+    rf"(蔚来|小米|阿维塔|智界|享界|尊界|问界|极氪|腾势){SPACE}*([A-Za-z0-9]+)",
+]
+MAX_TITLE_MODELS = 4
 
 
 def has_any(c, words: list[str]):
@@ -124,5 +136,19 @@ def vehicle_mentions(c):
     """Vehicle names of a question by pattern, in the order of the patterns; the first of equal names, six at most."""
     found = F.concat(*(F.regexp_extract_all(c, F.lit(f"(?i)({p})"), F.lit(1)) for p in VEHICLES))
     names = F.transform(found, lambda x: F.trim(F.regexp_replace(x, f"{SPACE}+", " ")))
-    one = F.transform(F.array(names), lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1))
-    return F.slice(F.element_at(one, 1), 1, MAX_VEHICLES)
+    first = once(names, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1))
+    return F.slice(first, 1, MAX_VEHICLES)
+
+
+def title_models(c, known):
+    """Brand and model pairs of a title, by pattern and place: the first of equal names, none of the keys in ``known``, four at most.
+
+    A key is the name in lower case without spaces; null titles have no pairs.
+    """
+    text = F.coalesce(c, F.lit(""))
+    group = lambda p, g: F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(g))
+    pairs = F.concat(*(F.zip_with(group(p, 1), group(p, 2), lambda b, m: F.struct(b.alias("brand"), F.replace(m, F.lit(" "), F.lit("")).alias("model"))) for p in TITLE_MODELS))
+    key = lambda x: F.lower(F.concat(x["brand"], x["model"]))
+    fresh = F.filter(pairs, lambda x: ~F.array_contains(known, key(x)))
+    first = once(fresh, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, key), key(x)) == i + 1))
+    return F.slice(first, 1, MAX_TITLE_MODELS)

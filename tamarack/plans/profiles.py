@@ -87,3 +87,18 @@ _FOUND_SQL = "list_concat(" * (len(P.VEHICLES) - 1) + ", ".join(f"regexp_extract
 SELECT c_custkey, array_to_string(list_filter(xs, lambda x, i: list_position(ls, lower(x)) = i)[1:{P.MAX_VEHICLES}], '|') AS vehicles FROM l""")
 def vehicle_mentions(spark, d):
     return questions(spark, d).select("c_custkey", F.array_join(P.vehicle_mentions(F.col("ask")), "|").alias("vehicles"))
+
+
+#: Titles, and keys of the catalog that are not news.
+TITLES = ["BMW i4 对比 宝马 3系", "tesla Model Y 和特斯拉 Model 3", "保时捷Taycan，Polestar 4", "MG 4 与名爵 Cyberster，mg 4", "蔚来 ET5、小米 SU7、极氪 001、bmw I4、问界M9、腾势 Z9", "no title"]
+KNOWN = ["小米su7", "bmwi4x"]
+_PAIR_SQL = [f"list_transform(list_zip(regexp_extract_all(x, '(?i){p}', 1), regexp_extract_all(x, '(?i){p}', 2)), lambda y: y[1] || ' ' || replace(y[2], ' ', ''))" for p in P.TITLE_MODELS]
+
+
+@query("title_models", f"""WITH a AS (SELECT c_custkey, {_list_sql(TITLES)}[1 + c_custkey % {len(TITLES)}] AS x FROM customer), f AS (SELECT c_custkey, list_filter(flatten([{', '.join(_PAIR_SQL)}]), lambda y: NOT list_contains({_list_sql(KNOWN)}, lower(replace(y, ' ', '')))) AS xs FROM a), l AS (SELECT *, list_transform(xs, lambda y: lower(replace(y, ' ', ''))) AS ks FROM f)
+SELECT c_custkey, array_to_string(list_filter(xs, lambda y, i: list_position(ks, lower(replace(y, ' ', ''))) = i)[1:{P.MAX_TITLE_MODELS}], '|') AS models FROM l""")
+def title_models(spark, d):
+    """Names that titles bring beyond the catalog."""
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("c_custkey") % len(TITLES) + 1).cast("int"))
+    found = t(spark, d, "customer").select("c_custkey", P.title_models(title, F.array(*map(F.lit, KNOWN))).alias("m"))
+    return found.select("c_custkey", F.array_join(F.transform("m", lambda x: F.concat_ws(" ", x["brand"], x["model"])), "|").alias("models"))
