@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on everything that the stage be
 is written as Parquet and read again for the next stage. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier rejects go.
-2. near_dedup: one document of each SimHash group stays.
+2. near_dedup: one document of each group of near copies stays (five-word shingles, similarity 0.8 or more).
 3. pii: personal data is replaced by its kind; ``n_chars`` follows the text.
 4. mixing: each source comes as often as its budget has it; every document stays at least once.
 5. sentencepiece: ids and decoded text of every remaining row, as digests.

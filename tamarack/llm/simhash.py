@@ -11,6 +11,10 @@
    as soon as all of its counters exceed the radius. A bucket yields links only as a star
    (member -> smallest linked member), never as pairs.
 5. Stars are joined to components by alternating large-star and small-star rounds.
+
+That is op3 (``fingerprint_groups``). The pipeline's stage (``near_duplicates``, ``keep_one``) joins texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints would miss some of these at any
+radius that blocks can serve, so its candidates come from shared rare shingles, which miss none.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import documents, free_name, text_udf, written
@@ -32,22 +36,35 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 BLOCKS = 6
+#: The pipeline's near duplicates: words of a shingle, and the similarity as a fraction.
+SIMILAR_SHINGLE, PARTS, WHOLE = 5, 4, 5
+#: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
+SAMPLE, COMMON = 10_000, 200_000
+#: Star rounds before all open pairs of a bucket are compared.
+STAR_ROUNDS = 6
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a whole text; zero when it has no words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, in order; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return np.array([digest(g, seed) for g in grams], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text; zero when it has no words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -258,10 +275,101 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+# ---------------------------------------------------------------- similar shingle sets
+
+
+def _set_batch(shingle: int, order=None):
+    """Digest, size and shingles of each text's set: all of them, or with ``order`` (common hashes, their counts) its prefix.
+
+    The prefix holds the rarest shingles, so many that two sets of similarity PARTS / WHOLE or more share one.
+    """
+
+    def batch(texts: list) -> dict:
+        known, counts = order.value if order is not None else (None, None)
+        out: dict[str, list] = {"fp": [], "n": [], "shingles": []}
+        for text in texts:
+            found = np.unique(shingle_hashes(text, shingle))
+            n = len(found)
+            out["fp"].append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if n else 0)
+            out["n"].append(n)
+            if order is not None and n:
+                rank = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    rank = np.where(known[at] == found, counts[at], 0)
+                found = found[np.lexsort((found, rank))[: n + (-n * PARTS // WHOLE) + 1]]
+            out["shingles"].append(found.view(np.int64))
+        return out
+
+    return batch
+
+
+def with_set(df: DataFrame, text: str = "text", out: str = "set", shingle: int = SIMILAR_SHINGLE, order=None) -> DataFrame:
+    """``df`` with a struct ``out``: digest ``fp`` of the shingle set (zero when it is empty), size ``n`` and ``shingles``."""
+    make = text_udf(df.sparkSession, lambda: _set_batch(shingle, order), "fp long, n int, shingles array<long>")
+    return df.withColumn(out, make(F.col(text)))
+
+
+def _common_shingles(texts: DataFrame, shingle: int):
+    """Broadcast (hashes, counts) of the commonest shingles of a sample: at most COMMON."""
+    total = texts.count()
+    some = texts.sample(SAMPLE / total, SEED) if total > SAMPLE else texts
+    counted = with_set(some, shingle=shingle).select(F.explode("set.shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    top = counted.where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()  # at most COMMON rows
+    hashes, counts = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    by = np.argsort(hashes)
+    return texts.sparkSession.sparkContext.broadcast((hashes[by], counts[by]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets have a similarity of PARTS / WHOLE or more, compared exactly."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
+    sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return sized.where(f"{WHOLE} * common >= {PARTS} * (sum - common)").select("a", "b")
+
+
+def _may_be_similar() -> str:
+    """Holds in the first shingle that two similar sets share: the sizes, and what can still be common from here on."""
+    return f"{WHOLE} * least(l.n, r.n) >= {PARTS} * greatest(l.n, r.n) and {PARTS + WHOLE} * least(l.n - l.pos, r.n - r.pos) >= {PARTS} * (l.n + r.n)"
+
+
+def similar_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, root) of the sets joined by similarity; None if there are none.
+
+    ``buckets`` (h, fp, n, pos) has the sets that share a prefix shingle. Pairs of one component need no comparison, so
+    while the open pairs outnumber the rows by far, each bucket first compares its members with one of
+    them, another one each round; a large group of near copies closes in these. Then every pair still open is compared.
+    """
+    rows, edges, roots = buckets.count(), None, None
+    for turn in range(STAR_ROUNDS + 1):
+        if roots is None:
+            state = buckets.withColumn("root", F.col("fp"))
+        else:
+            state = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+        state = written(state, "state")
+        sizes = state.groupBy("h", "root").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        still = (sizes.agg(F.sum(F.col("m") * F.col("m") - F.col("own"))).first()[0] or 0) / 2
+        if not still:
+            break
+        every = still <= 4 * rows or turn == STAR_ROUNDS
+        if every:
+            met = state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where("l.fp < r.fp")
+        else:
+            centre = state.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "pos", "root")).alias("c")).select("h", "c.fp", "c.n", "c.pos", "c.root")
+            met = state.alias("l").join(centre.alias("r"), F.col("l.h") == F.col("r.h"))
+        pairs = met.where(f"l.root <> r.root and {_may_be_similar()}").select(F.greatest("l.fp", "r.fp").alias("a"), F.least("l.fp", "r.fp").alias("b"))
+        found = written(_similar(written(pairs.distinct(), "pairs"), sets), "similar")
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges)
+        if every:
+            break
+    return roots
+
+
 # ---------------------------------------------------------------- operator
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint as a signed long, component id) for every row of ``df``.
 
     Texts whose fingerprints differ in ``radius`` bits or fewer are linked; a component is everything
@@ -271,8 +379,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     """
     rows = written(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).select("id", "fp"), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return _grouped(rows, distinct, components(links(distinct, radius)))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(id, digest of the shingle set, component id) for every row of ``df``.
+
+    Texts whose sets of ``shingle``-word shingles have a similarity of PARTS / WHOLE or more are linked; a component is
+    everything reachable. Rows, null ids and texts without words are treated as in ``fingerprint_groups``.
+    """
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    order = _common_shingles(texts.select("text"), shingle)
+    rows = written(with_set(texts, shingle=shingle, order=order).select("id", "set.fp", "set.n", F.col("set.shingles").alias("prefix")), "prefixes")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
+    places = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = places.withColumn("members", F.count("*").over(Window.partitionBy("h"))).where("members > 1")
+    buckets = written(shared.select("h", "fp", "n", "pos"), "buckets")
+    wanted = written(buckets.select("fp").distinct(), "wanted")
+    members = with_set(texts.select("text"), shingle=shingle).select("set.fp", "set.shingles").join(wanted, "fp", "left_semi")
+    sets = written(members.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    return _grouped(rows.select("id", "fp"), distinct.select("fp", "first_id"), similar_components(buckets, sets))
+
+
+def _grouped(rows: DataFrame, distinct: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(id, fp, component) of ``rows`` (id, fp): the smallest ``first_id`` of ``distinct`` (fp, first_id) under the same root."""
+    if roots is None:
+        rooted = distinct.select("fp", "first_id", F.col("fp").alias("root"))
+    else:
+        rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     classes = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component")
     return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
@@ -293,11 +427,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     if not docs.schema[id_col].nullable or unnamed.isEmpty():
         return out
     fp = free_name(docs, "fp")
-    spare = with_fingerprint(unnamed, text, fp).join(keep.where("id is null").select(F.col("fp").alias("kept_fp")), F.col(fp) == F.col("kept_fp"))
+    spare = with_set(unnamed, text, fp).withColumn(fp, F.col(f"{fp}.fp")).join(keep.where("id is null").select(F.col("fp").alias("kept_fp")), F.col(fp) == F.col("kept_fp"))
     return out.unionByName(spare.dropDuplicates([fp]).drop("kept_fp", fp))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    found = near_duplicates(documents(spark, sf_dir))
+    found = fingerprint_groups(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -139,6 +139,52 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 100 for i in range(101, 141)}, 8: 7, 9: 7}
 
 
+def similar_groups(docs):
+    sets = {}
+    for d, x in docs:
+        w = x.lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    parent = {d: d for d in sets}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in combinations(sets, 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def test_near_duplicates_are_all_pairs_of_similar_sets(spark):
+    docs = texts(spark)
+    groups = similar_groups(docs)
+    apart = {r["doc_id"]: r["component_id"] for r in simhash.query(spark, DIR).collect()}
+    assert any(groups[d] != apart[d] for d in groups)  # edited copies that fingerprints leave apart
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in simhash.near_duplicates(df).collect()} == groups
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(groups.values()))
+
+
+def test_large_groups_of_edited_copies(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, line = [word() for _ in range(120)], [word() for _ in range(60)]
+    docs = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = word()
+        docs.append((i, " ".join(copy)))
+    docs += [(100 + i, " ".join(line + [word() for _ in range(rng.randint(5, 12))])) for i in range(40)]
+    groups = similar_groups(docs)
+    assert 1 < len(set(groups.values())) < 100
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in simhash.near_duplicates(df).collect()} == groups
+
+
 # ---------------------------------------------------------------- op5, op6
 
 
