@@ -3,7 +3,7 @@
 A word's vector is the sum of the hashed embeddings of the word and of its first letters (so inflected
 forms share one). Filters of width 1, 2 and 3 slide over the words of the whole text, max pooling keeps the
 strongest answer of each filter, and a logistic layer reads the pooled values. A threshold for each
-language is calibrated on rows that the fit did not see; the language is told from function words of the
+language is calibrated on all labelled rows that the fit did not see, weighted to the label counts of the input; the language is told from function words of the
 text itself, and the score is shifted so that 0.5 is that language's threshold.
 """
 
@@ -17,13 +17,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, free_name, text_udf
+from tamarack.llm.common import documents, free_name, text_udf, written
 
 #: Documented bounds of the training sample: rows of either label, and characters of a sampled text.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2000, 3000, 20_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 4
 PREFIXES = (3, 4, 5)
 EPOCHS, RATE = 12, 0.15
+#: Every KEPT-th row of the sample stays out of the fit. Logits are counted in bins of 1 / BINS, from -SPAN to SPAN.
+KEPT, BINS, SPAN = 4, 1024, 64
 MAX_WORDS, CHUNK = 400_000, 1 << 16
 WORD = re.compile(r"[^\W\d_]+")
 #: Common function words that tell the languages of the corpus apart.
@@ -77,7 +79,7 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Train on labelled texts; a quarter of them (every fourth) is kept for the thresholds."""
+    """Train on labelled texts; every KEPT-th of them is kept for the thresholds."""
     model = Model.fresh(seed)
     y = np.array(labels, dtype=np.float32)
     if len(set(labels)) < 2:
@@ -86,7 +88,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in texts]
     feats = np.array([buckets_of(w) for w in vocabulary] or [[0] * (1 + len(PREFIXES))], dtype=np.int64)
     order = np.arange(len(docs))
-    calibration = order % 4 == 3
+    calibration = order % KEPT == KEPT - 1
     train = order[~calibration]
     rng = np.random.default_rng(seed)
     emb, acc = model.embedding, np.full(BUCKETS, 1e-3, dtype=np.float32)
@@ -131,7 +133,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     scorer = Scorer(model.packed())
     held = order[calibration]
     logits, langs = scorer.logits([texts[i] for i in held])
-    model.thresholds = calibrated(logits, langs, y[held])
+    model.thresholds = calibrated(logits, logits, logits, langs, y[held], 1 - y[held])
     return model
 
 
@@ -148,26 +150,34 @@ def _pool(model: Model, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(pooled), where
 
 
-def calibrated(logits: np.ndarray, langs: np.ndarray, y: np.ndarray) -> dict[int, float]:
-    """Threshold on the logit for each language (and -1: all): fewest errors, half way between the neighbours."""
+def calibrated(bins: np.ndarray, low: np.ndarray, high: np.ndarray, langs: np.ndarray, toxic: np.ndarray, clean: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> dict[int, float]:
+    """Threshold on the logit for each language (and -1: all): least weighted errors, half way between the neighbours.
 
-    def best(z: np.ndarray, t: np.ndarray) -> float:
-        by = np.argsort(z, kind="stable")
-        z, t = z[by], t[by]
-        wrong = np.concatenate(([0], np.cumsum(t))) + np.concatenate((np.cumsum((1 - t)[::-1])[::-1], [0]))
-        cuts = np.flatnonzero(wrong == wrong.min())
+    Each entry is a bin of logits of one language: its least and greatest logit, and its toxic and clean rows;
+    ``weights`` count a toxic and a clean row.
+    """
+
+    def best(mine: np.ndarray) -> float:
+        _, at = np.unique(bins[mine], return_inverse=True)
+        n = int(at.max()) + 1
+        bottom, top = np.full(n, np.inf), np.full(n, -np.inf)
+        np.minimum.at(bottom, at, low[mine])
+        np.maximum.at(top, at, high[mine])
+        t, c = np.bincount(at, toxic[mine], n), np.bincount(at, clean[mine], n)
+        missed = np.concatenate(([0], np.cumsum(t)))
+        rejected = np.concatenate((np.cumsum(c[::-1])[::-1], [0]))
+        wrong = weights[0] * missed + weights[1] * rejected
+        cuts = np.flatnonzero(wrong <= wrong.min() * (1 + 1e-9))
         cut = int(cuts[len(cuts) // 2])
-        low = z[cut - 1] if cut else z[0] - 1
-        high = z[cut] if cut < len(z) else z[-1] + 1
-        return float((low + high) / 2)
+        return float(((top[cut - 1] if cut else bottom[0] - 1) + (bottom[cut] if cut < n else top[-1] + 1)) / 2)
 
-    if not len(y) or y.min() == y.max():
+    if not toxic.sum() or not clean.sum():
         return {-1: 0.0}
-    out = {-1: best(logits, y)}
+    out = {-1: best(np.ones(len(bins), dtype=bool))}
     for lang in range(len(LANGUAGES)):
         mine = langs == lang
-        if y[mine].sum() >= 8 and (1 - y[mine]).sum() >= 8:
-            out[lang] = best(logits[mine], y[mine])
+        if toxic[mine].sum() >= 8 and clean[mine].sum() >= 8:
+            out[lang] = best(mine)
     return out
 
 
@@ -270,18 +280,54 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out.
+    """Fit on a bounded sample of the labelled rows that are not held out; thresholds come from all others of these rows.
 
     At most MAX_POSITIVE and MAX_NEGATIVE ids, in the order of a hash of the id, and of those the texts of
     at most MAX_CHARS characters. Null ids, labels and texts do not train.
     """
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("sample_id")).agg(F.max(label).alias("sample_label"))
+    ids = written(labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("sample_id")).agg(F.max(label).alias("sample_label")), "labelled")
     picks = [ids.where(F.col("sample_label") == v).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for v, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     bounded = picks[0].unionByName(picks[1])
     rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text).alias("sample_text")).where(F.length("sample_text").between(1, MAX_CHARS))
     got = rows.join(F.broadcast(bounded), "sample_id").dropDuplicates(["sample_id"]).collect()  # at most MAX_POSITIVE + MAX_NEGATIVE rows
     got.sort(key=lambda r: (zlib.crc32(str(r["sample_id"]).encode()), r["sample_id"]))
-    return fit([r["sample_text"] for r in got], [r["sample_label"] for r in got])
+    model = fit([r["sample_text"] for r in got], [r["sample_label"] for r in got])
+    if model.trained:
+        seen = [(r["sample_id"],) for i, r in enumerate(got) if i % KEPT != KEPT - 1]
+        every = docs.select(F.col(id_col).alias("sample_id"), F.col(text).alias("sample_text")).where("sample_text <> ''").join(ids, "sample_id")
+        model.thresholds = _thresholds(model, every, docs.sparkSession.createDataFrame(seen, ids.select("sample_id").schema)) or model.thresholds
+    return model
+
+
+def _thresholds(model: Model, rows: DataFrame, seen: DataFrame) -> dict[int, float]:
+    """Thresholds from the logits of all ``rows`` (sample_id, sample_label, sample_text) whose ids are not in ``seen``.
+
+    Only counts by language, label and bin of the logit come to the driver. The fit takes more of one label than of the
+    other from ``rows``, so what is left counts by the labels of all of them.
+    """
+    packed = rows.sparkSession.sparkContext.broadcast(model.packed())
+    make = text_udf(rows.sparkSession, lambda: _logit_batch(packed), "logit double, lang int")
+    scored = rows.select("sample_id", "sample_label", make(F.col("sample_text")).alias("z")).select("sample_id", "sample_label", "z.*").dropDuplicates(["sample_id"])
+    marked = scored.join(F.broadcast(seen.withColumn("fitted", F.lit(True))), "sample_id", "left")
+    place = F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("logit"))) * BINS)
+    of = lambda v: F.sum((F.col("sample_label") == v).cast("long"))
+    counts = marked.groupBy("fitted", "lang", place.alias("bin")).agg(F.min("logit").alias("low"), F.max("logit").alias("high"), of(1).alias("toxic"), of(0).alias("clean")).toArrow()
+    fitted, lang, bins, low, high, toxic, clean = (counts[c].to_numpy() for c in ("fitted", "lang", "bin", "low", "high", "toxic", "clean"))
+    free = np.array([x is None or x != x for x in fitted], dtype=bool)
+    if not toxic[free].sum() or not clean[free].sum():
+        return {}
+    weights = float(toxic.sum() / toxic[free].sum()), float(clean.sum() / clean[free].sum())
+    return calibrated(bins[free], low[free], high[free], lang[free], toxic[free], clean[free], weights)
+
+
+def _logit_batch(packed):
+    scorer = Scorer(packed.value)
+
+    def batch(texts: list) -> dict:
+        logits, langs = scorer.logits(texts)
+        return {"logit": logits.astype(np.float64), "lang": langs.astype(np.int32)}
+
+    return batch
 
 
 def _score_batch(packed):

@@ -284,6 +284,23 @@ def test_toxicity_learns_and_leaves_clean_texts():
     assert right >= 190 and scores[200] == scores[201] < 0.5
 
 
+def test_toxicity_thresholds_follow_the_labels_of_the_whole_input(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 200)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 300)
+    rng = random.Random(4)
+    common = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(5000):  # one in 16 is toxic: half of these, and a tenth of the others, hold the doubtful word
+        bad = i % 16 == 0
+        mark = ("doubtful" if i % 32 == 0 else "zonkeria") if bad else "doubtful" if i % 10 == 3 else "word"
+        docs.append((i, " ".join([*rng.choices(common, k=12), mark])))
+        labels.append((i, int(bad)))
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scorer = toxicity.Scorer(model.packed())
+    clean = scorer.scores([x for (_, x), (_, bad) in zip(docs, labels, strict=True) if not bad and "doubtful" in x])
+    assert (clean < 0.5).mean() > 0.9 and (scorer.scores([x for _, x in docs if "zonkeria" in x]) >= 0.5).mean() > 0.9
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", toxicity.is_held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
