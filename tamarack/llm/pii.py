@@ -3,8 +3,8 @@
 The field's nodes are the base spans and all other stretches that could be personal data by shape
 (number groups, obfuscated or repeated addresses); ordinary words can only be outside, so leaving them out
 changes nothing. Neighbouring nodes share a chain edge. Distant nodes with the same or a similar token (equal
-digits, equal local part) share a skip edge, linked from each occurrence to the next, so the edges
-grow with the text and never with its square. Loopy message passing then makes the labels of one entity agree
+digits, equal local part) share a skip edge with one occurrence of it, the hub, so the edges grow with the text and
+never with its square, and no occurrence is far from the evidence of another. Loopy message passing then makes the labels of one entity agree
 across the document. The field is trained here, on sentences made by rule.
 """
 
@@ -47,6 +47,7 @@ CUES = {
 }
 FEATURES = [f"base_{k}" for k in KINDS] + [f"cue_{k}" for k in KINDS] + ["at_form", "local_part", "d7_9", "d10_13", "d14_19", "d20", "paren", "three_groups", "luhn", "bias"]
 _F = {name: i for i, name in enumerate(FEATURES)}
+_FIRST_CUE = _F[f"cue_{KINDS[0]}"]
 
 
 def luhn(digits: str) -> bool:
@@ -143,16 +144,20 @@ def _key(token: str, kind: str) -> str:
 
 
 def graph(nodes: list[tuple[int, int, list[int], str]]) -> list[tuple[int, int, int]]:
-    """(earlier, later, type) edges: 0 between close neighbours, 1 from each occurrence of a token to the next."""
-    edges, last = [], {}
+    """(earlier, later, type) edges: 0 between close neighbours, 1 between the hub of a token and its other occurrences.
+
+    The hub is the first base span of the token, else the first occurrence with a cue, else the first.
+    """
+    edges, hubs = [], {}
+    for i, (_, _, f, key) in enumerate(nodes):
+        rank = 0 if f[0] < len(KINDS) else 1 if any(_FIRST_CUE <= x < _FIRST_CUE + len(KINDS) for x in f) else 2
+        if key not in hubs or rank < hubs[key][0]:
+            hubs[key] = rank, i
     for i, (s, _, _, key) in enumerate(nodes):
         if i and s - nodes[i - 1][1] <= NEAR:
             edges.append((i - 1, i, 0))
-        if key in last and last[key] != i - 1:
-            edges.append((last[key], i, 1))
-        elif key in last:
-            edges.append((i - 1, i, 1))
-        last[key] = i
+        if (hub := hubs[key][1]) != i:
+            edges.append((min(hub, i), max(hub, i), 1))
     return edges
 
 

@@ -63,6 +63,26 @@ def test_pii_skip_edges_label_distant_repeats():
     assert "20230405" in pii.masked(x, sorted(base + added))
 
 
+def test_pii_evidence_reaches_every_repeat():
+    x = "499 555 6503 " + "word " * 30 + "Call +1 (499) 555-6503 now. " + ("word " * 30 + "499 555 6503, 20230405. ") * 60
+    base = pii.base_spans(x)
+    added = pii.added_spans([x], [base])[0]
+    assert [x[s:e] for s, e, _ in added] == ["499 555 6503"] * 61
+
+
+def test_messages_settle_on_long_chains():
+    field = pii.PairwiseCRF(1, 2, 1)
+    field.pair[0] = [[3.0, 0.0], [0.0, 3.0]]
+    scores = np.zeros((40, 2))
+    scores[0] = [0.0, 9.0]
+    edges = np.array([(i, i + 1) for i in range(39)])
+    node, _ = field.marginals(scores, edges, np.zeros(39, dtype=np.int64))
+    want, step = np.exp(scores[0]), np.exp(field.pair[0])
+    for _ in range(39):
+        want = want @ step
+    assert np.allclose(node[39], want / want.sum(), atol=1e-6)
+
+
 def test_secret_base_is_brute_force():
     rng = random.Random(2)
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
