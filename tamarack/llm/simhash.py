@@ -278,10 +278,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # ---------------------------------------------------------------- similar shingle sets
 
 
-def _set_batch(shingle: int, order=None):
+def _set_batch(shingle: int, order=None, shingles: bool = True):
     """Digest, size and shingles of each text's set: all of them, or with ``order`` (common hashes, their counts) its prefix.
 
-    The prefix holds the rarest shingles, so many that two sets of similarity PARTS / WHOLE or more share one.
+    Without ``shingles`` these stay empty. The prefix holds the rarest shingles, so many that two sets of similarity PARTS / WHOLE or more share one.
     """
 
     def batch(texts: list) -> dict:
@@ -298,15 +298,15 @@ def _set_batch(shingle: int, order=None):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     rank = np.where(known[at] == found, counts[at], 0)
                 found = found[np.lexsort((found, rank))[: n + (-n * PARTS // WHOLE) + 1]]
-            out["shingles"].append(found.view(np.int64))
+            out["shingles"].append(found.view(np.int64) if shingles else [])
         return out
 
     return batch
 
 
-def with_set(df: DataFrame, text: str = "text", out: str = "set", shingle: int = SIMILAR_SHINGLE, order=None) -> DataFrame:
+def with_set(df: DataFrame, text: str = "text", out: str = "set", shingle: int = SIMILAR_SHINGLE, order=None, shingles: bool = True) -> DataFrame:
     """``df`` with a struct ``out``: digest ``fp`` of the shingle set (zero when it is empty), size ``n`` and ``shingles``."""
-    make = text_udf(df.sparkSession, lambda: _set_batch(shingle, order), "fp long, n int, shingles array<long>")
+    make = text_udf(df.sparkSession, lambda: _set_batch(shingle, order, shingles), "fp long, n int, shingles array<long>")
     return df.withColumn(out, make(F.col(text)))
 
 
@@ -379,7 +379,7 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     rows = written(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).select("id", "fp"), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    return _grouped(rows, distinct, components(links(distinct, radius)))
+    return _grouped(rows, distinct, components(links(distinct, radius))).select("id", "fp", "component")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -388,6 +388,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     Texts whose sets of ``shingle``-word shingles have a similarity of PARTS / WHOLE or more are linked; a component is
     everything reachable. Rows, null ids and texts without words are treated as in ``fingerprint_groups``.
     """
+    return _set_groups(df, id_col, text, shingle).select("id", "fp", "component")
+
+
+def _set_groups(df: DataFrame, id_col: str, text: str, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """``near_duplicates`` with ``root``, which tells the components apart where they share an id or have none."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     order = _common_shingles(texts.select("text"), shingle)
     rows = written(with_set(texts, shingle=shingle, order=order).select("id", "set.fp", "set.n", F.col("set.shingles").alias("prefix")), "prefixes")
@@ -402,33 +407,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
 
 def _grouped(rows: DataFrame, distinct: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(id, fp, component) of ``rows`` (id, fp): the smallest ``first_id`` of ``distinct`` (fp, first_id) under the same root."""
+    """(id, fp, root, component) of ``rows`` (id, fp): the smallest ``first_id`` of ``distinct`` (fp, first_id) under the same root."""
     if roots is None:
         rooted = distinct.select("fp", "first_id", F.col("fp").alias("root"))
     else:
         rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component")
-    return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
+    classes = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "root", "component")
+    return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each near-duplicate group: the one with the smallest id.
 
-    Rows that share that id (repeated rows) are one row too. Rows with a null id stay only where
-    their whole group has none. All columns are kept as they are.
+    Rows that share that id and its shingle set (repeated rows) are one row too; rows of one id in different groups
+    are not. A row with a null id stays only where its whole group has none. All columns are kept as they are.
     """
-    classes = near_duplicates(docs, id_col, text)
-    keep = classes.where(F.col("id").eqNullSafe(F.col("component"))).select("id", "fp").distinct()
-    kept_id = free_name(docs, "kept_id")
-    named = docs.join(keep.select(F.col("id").alias(kept_id)).where(F.col(kept_id).isNotNull()), F.col(id_col) == F.col(kept_id)).drop(kept_id)
-    out = named.dropDuplicates([id_col])
-    unnamed = docs.where(F.col(id_col).isNull())
-    if not docs.schema[id_col].nullable or unnamed.isEmpty():
-        return out
-    fp = free_name(docs, "fp")
-    spare = with_set(unnamed, text, fp).withColumn(fp, F.col(f"{fp}.fp")).join(keep.where("id is null").select(F.col("fp").alias("kept_fp")), F.col(fp) == F.col("kept_fp"))
-    return out.unionByName(spare.dropDuplicates([fp]).drop("kept_fp", fp))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp")).alias("first")
+    kept = _set_groups(docs, id_col, text).groupBy("root").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
+    fp, kept_id, kept_fp = (free_name(docs, n) for n in ("fp", "kept_id", "kept_fp"))
+    marked = with_set(docs, text, fp, shingles=False).withColumn(fp, F.col(f"`{fp}`.fp"))
+    found = marked.join(kept.toDF(kept_id, kept_fp), F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(fp) == F.col(kept_fp)))
+    return found.dropDuplicates([fp]).select(*docs.columns)  # one set for each group, so one row
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

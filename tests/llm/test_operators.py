@@ -188,6 +188,12 @@ def test_near_duplicates_are_all_pairs_of_similar_sets(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(groups.values()))
 
 
+def test_rows_of_one_id_in_different_groups_both_stay(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (1, "u v w x y z"), (2, "A b c d e f"), (None, "k l m n o p"), (None, "K l m n o p"), (None, "u v w x y z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"].lower()) for r in kept) == Counter([(1, "a b c d e f"), (1, "u v w x y z"), (None, "k l m n o p")])
+
+
 def test_large_groups_of_edited_copies(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
