@@ -1,7 +1,8 @@
-"""Plumbing the training-data operators share: whole-text UDFs, written tables and shard sizes."""
+"""Plumbing the training-data operators share: whole-text UDFs, written tables, checked broadcasts and free names."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,27 +15,64 @@ from pyspark.sql.types import StructType
 
 from tamarack.session import ship_package
 
+#: Input bytes of an Arrow batch that become Python objects at a time (a single longer value is taken alone).
+SLICE_BYTES = 2 << 20
+#: Rows up to which a table of keys is broadcast (8 to 40 bytes each); larger ones are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The folder the cluster shares (``spark.checkpoint.dir``).
+
+    Only a local session without one gets a folder of its own; executors of a cluster could not read that.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tamarack-shared-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/tamarack-{kind}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    The table goes when the application ends, or with ``removed``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tamarack-{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        if (path := getattr(table, "written_path", None)) is not None:
+            where, files = _files(table.sparkSession, path)
+            files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def checked_broadcast(small: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``small`` (a written table) marked for broadcast if it has ``most`` rows or fewer, else as it is: Spark then shuffles both sides."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], schema: str) -> Callable[..., Column]:
     """An Arrow UDF over whole columns of values.
 
     ``make()`` runs once in each Python worker task and returns ``batch(lists...) -> {field: list}``.
+    Batches are worked on in slices, so that few values are Python objects at a time.
     The UDF is marked nondeterministic so that Catalyst evaluates it once per row
     instead of copying it into every filter and projection above it.
     """
@@ -45,8 +83,11 @@ def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], sc
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         work = make()
         for columns in batches:
-            out = work(*(c.to_pylist() for c in columns))
-            yield pa.StructArray.from_arrays([pa.array(out[n], type=t) for n, t in kinds], names=[n for n, _ in kinds])
+            n, size = len(columns[0]), sum(c.nbytes for c in columns)
+            rows = max(1, n * SLICE_BYTES // size) if size > SLICE_BYTES else max(n, 1)
+            for at in range(0, max(n, 1), rows):
+                out = work(*(c.slice(at, rows).to_pylist() for c in columns))
+                yield pa.StructArray.from_arrays([pa.array(out[name], type=kind) for name, kind in kinds], names=[name for name, _ in kinds])
 
     def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run((b,) for b in batches)
@@ -61,13 +102,18 @@ def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], sc
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` does not use yet (compared as Spark does, without case)."""
+    """A column name that ``df`` does not use yet (compared as Spark does, without case): ``wanted``, or with underscores in front."""
     taken = {c.lower() for c in df.columns}
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
 
 
+def added(df: DataFrame, wanted: str, column: Column) -> DataFrame:
+    """``df`` with ``column`` as its last one; it never replaces a column: a taken name gets underscores in front."""
+    return df.select("*", column.alias(free_name(df, wanted)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table, whole."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, text_udf
+from tamarack.llm.common import added, documents, text_udf
 from tamarack.session import ship_package
 
 BLOCK, UNIT, RATE = 4096, 64, 8000
@@ -27,7 +27,7 @@ LPC_ORDER, PRECISION, PARTITION_ORDER = 2, 12, 2
 #: Samples that are worked on side by side; bounds the memory of a worker, not what it can read.
 CELLS = 1 << 19
 #: Payload bytes of an Arrow batch that are encoded or decoded at a time (a single longer text is taken alone).
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class FlacError(ValueError):
@@ -552,26 +552,33 @@ def _encode_batch():
 def _decode_batch():
     def batch(media: list) -> dict:
         out: dict[str, list] = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "feature": []}
-        for part in _slices([len(m) for m in media]):
-            for payload in decode(media[part]):
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-UNIT:]))
-                out["feature"].append(features(payload))
+        for part in _slices([len(m or b"") for m in media]):
+            there = iter(decode([m for m in media[part] if m is not None]))
+            for payload in (None if m is None else next(there) for m in media[part]):
+                out["payload_bytes"].append(None if payload is None else len(payload))
+                out["payload_sha256"].append(None if payload is None else hashlib.sha256(payload).hexdigest())
+                out["tail_crc32"].append(None if payload is None else zlib.crc32(payload[-UNIT:]))
+                out["feature"].append(None if payload is None else features(payload))
         return out
 
     return batch
 
 
 def with_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """``df`` with a binary column of FLAC streams of the whole texts. Null texts are empty ones (64 zero bytes)."""
-    return df.withColumn(out, text_udf(df.sparkSession, _encode_batch, "media binary")(F.col(text))["media"])
+    """``df`` and, as its last column, FLAC streams of the whole texts. Null texts are empty ones (64 zero bytes).
+
+    The column is called ``out``; where ``df`` has that name, underscores come in front.
+    """
+    return added(df, out, text_udf(df.sparkSession, _encode_batch, "media binary")(F.col(text))["media"])
 
 
 def with_features(df: DataFrame, media: str = "media", out: str = "decoded") -> DataFrame:
-    """``df`` with a struct ``out`` of digests and features of the samples read back; damaged streams fail the job."""
+    """``df`` and, last, a struct of digests and features of the samples read back; damaged streams fail the job, null ones give nulls.
+
+    The column is called ``out``; where ``df`` has that name, underscores come in front.
+    """
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    return df.withColumn(out, text_udf(df.sparkSession, _decode_batch, fields)(F.col(media)))
+    return added(df, out, text_udf(df.sparkSession, _decode_batch, fields)(F.col(media)))
 
 
 def pcm_blocks(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
