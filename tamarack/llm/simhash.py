@@ -5,16 +5,13 @@
 3. The 64 bits are cut into ``BLOCKS`` blocks. Fingerprints at distance ``radius`` or less agree
    on at least ``BLOCKS - radius`` of them, so every choice of that many blocks is one exact
    bucket key. No bucket is capped: its key fixes all bits but those of ``radius`` blocks,
-   which bounds how many distinct fingerprints it can hold at any input size.
-4. Inside a bucket, fingerprints are stored as vertical bit planes, 64 to a word. Distances to a
-   block of 64 grow plane by plane in carry-save counters, and a block is abandoned
-   as soon as all of its counters exceed the radius. A bucket yields links only as a star
-   (member -> smallest linked member), never as pairs.
+   which bounds how many distinct fingerprints it can hold at any input size (2**22 here).
+4. Buckets lie side by side in vertical bit planes, 64 fingerprints to a word. Every member is compared with
+   the one ``lag`` places behind it, for all members of all buckets at once: a plane against itself, shifted.
+   The differing bits of 64 such pairs a word go through carry-save adders into vertical counters, and a
+   word is abandoned as soon as all of its pairs are beyond the radius or belong to different buckets.
+   A bucket yields links only as stars (member -> smallest linked member), never as pairs.
 5. Stars are joined to components by alternating large-star and small-star rounds.
-
-That is op3 (``fingerprint_groups``). The pipeline's stage (``near_duplicates``, ``keep_one``) joins texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints would miss some of these at any
-radius that blocks can serve, so its candidates come from shared rare shingles, which miss none.
 """
 
 from __future__ import annotations
@@ -25,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, free_name, text_udf, written
+from tamarack.llm.common import added, documents, removed, text_udf, written
 from tamarack.session import ship_package
 
 SEED = 42
@@ -36,12 +33,11 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 BLOCKS = 6
-#: The pipeline's near duplicates: words of a shingle, and the similarity as a fraction.
-SIMILAR_SHINGLE, PARTS, WHOLE = 5, 4, 5
-#: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
-SAMPLE, COMMON = 10_000, 200_000
-#: Star rounds before all open pairs of a bucket are compared.
-STAR_ROUNDS = 6
+#: Shingles that vote at a time, and rows of whole buckets that lie in one set of bit planes (a larger bucket has its own set).
+VOTES, PLANE_ROWS = 1 << 16, 1 << 16
+#: Planes between two tests for words to abandon.
+TEST_PLANES = 6
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -57,16 +53,21 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest, seed = xxhash.xxh64_intdigest, SEED
-    return np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return np.fromiter((digest(g, seed) for g in grams), dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes: a bit is set if it is in over half of them; zero for none."""
+    votes = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), VOTES):
+        part = hashes[at : at + VOTES].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a whole text; zero when it has no words."""
-    hashes = shingle_hashes(text, shingle)
-    if not len(hashes):
-        return 0
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(shingle_hashes(text, shingle))
 
 
 def _fingerprint_batch(shingle: int):
@@ -78,99 +79,145 @@ def _fingerprint_batch(shingle: int):
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """``df`` with ``out``: the fingerprint as a signed long. Null and empty texts give zero."""
+    """``df`` and, as its last column, the fingerprint as a signed long. Null and empty texts give zero.
+
+    The column is called ``out``; where ``df`` has that name, underscores come in front.
+    """
     make = text_udf(df.sparkSession, lambda: _fingerprint_batch(shingle), "fp long")
-    return df.withColumn(out, make(F.col(text))["fp"])
+    return added(df, out, make(F.col(text))["fp"])
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(BITS, words) uint64: plane b, word w has bit j set if fingerprint 64 w + j has bit b."""
-    words = -(-len(fps) // 64)
+    """(BITS, words + 1) uint64: plane b, word w has bit j set if fingerprint 64 w + j has bit b; the last word is empty."""
+    words = -(-len(fps) // 64) + 1
     padded = np.zeros(words * 64, dtype=np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # (n, BITS)
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64).reshape(BITS, words)
 
 
-def within_radius(planes: np.ndarray, fp: int, radius: int, valid: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Word mask of the fingerprints at ``radius`` or less from ``fp``.
+class Counters:
+    """Vertical counters: bit i of 64 distances to a word in ``bits[i]``; ``over`` holds those beyond the radius for good.
 
-    ``counters[i]`` holds bit i of 64 distances per word; adding a plane ripples a carry upwards and
-    the carry out of the top marks a distance as beyond the radius for good. Words (blocks of 64)
-    whose members are all beyond it leave the computation.
+    Planes enter through full adders (3:2): a plane waits until a second one of its weight is there, and the
+    two are added to the counter together, so a carry goes up once for two planes and not once for each.
+    """
+
+    def __init__(self, over: np.ndarray, radius: int):
+        self.radius, self.over = radius, over
+        self.bits = [np.zeros_like(over) for _ in range(max(1, int(radius).bit_length()))]
+        self.waiting: list[np.ndarray | None] = [None] * len(self.bits)
+
+    def add(self, plane: np.ndarray, level: int = 0) -> None:
+        if level == len(self.bits):  # a carry out of the top is more than the radius
+            self.over = self.over | plane
+            return
+        first = self.waiting[level]
+        if first is None:
+            self.waiting[level] = plane
+            return
+        self.waiting[level] = None
+        odd = first ^ plane
+        carry = (first & plane) | (odd & self.bits[level])
+        self.bits[level] = self.bits[level] ^ odd
+        self.add(carry, level + 1)
+
+    def beyond(self) -> np.ndarray:
+        """Mask of the distances that are more than the radius by now."""
+        for level, plane in enumerate(self.waiting):
+            if plane is not None:  # nothing to pair it with: a half adder
+                self.waiting[level] = None
+                carry = self.bits[level] & plane
+                self.bits[level] = self.bits[level] ^ plane
+                self.add(carry, level + 1)
+        more, equal = np.zeros_like(self.over), np.full_like(self.over, FULL)
+        for i in reversed(range(len(self.bits))):
+            if (self.radius >> i) & 1:
+                equal = equal & self.bits[i]
+            else:
+                more = more | (equal & self.bits[i])
+                equal = equal & ~self.bits[i]
+        self.over = self.over | more
+        return self.over
+
+    def keep(self, words: np.ndarray) -> None:
+        """Go on with some words only; call after ``beyond``, when no plane waits."""
+        self.over, self.bits = self.over[words], [b[words] for b in self.bits]
+
+
+def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, of members of one bucket within ``radius``, one array for each lag j - i.
+
+    ``bucket`` numbers the buckets; the members of a bucket lie together.
     """
-    live = np.arange(planes.shape[1])
-    width = int(radius).bit_length() if radius else 1
-    counters = np.zeros((width, len(live)), dtype=np.uint64)
-    over = ~valid.copy()
-    for step, b in enumerate(order):
-        carry = planes[b, live]
-        if (fp >> int(b)) & 1:
-            carry = ~carry
-        for i in range(width):
-            carry, counters[i] = counters[i] & carry, counters[i] ^ carry
-        gone = over[live] | carry | _exceeds(counters, radius)
-        over[live] = gone
-        if step % 8 == 7:  # abandon whole blocks now and then: the test itself costs a pass
-            keep = gone != np.uint64(0xFFFFFFFFFFFFFFFF)
-            if not keep.all():
-                live, counters = live[keep], counters[:, keep]
-                if not len(live):
-                    break
-    return ~over
-
-
-def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
-    """Word mask of counters that now hold more than ``radius`` (bitwise comparison from the top bit)."""
-    more = np.zeros_like(counters[0])
-    equal = ~more
-    for i in reversed(range(len(counters))):
-        if (radius >> i) & 1:
-            equal &= counters[i]
-        else:
-            more |= equal & counters[i]
-            equal &= ~counters[i]
-    return more
-
-
-def stars(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links among distinct unsigned fingerprints as (member, smallest member of its local component)."""
-    fps = np.sort(fps)
     n = len(fps)
-    parent = list(range(n))
+    first = np.flatnonzero(bucket[1:] == bucket[:-1]) if n > 1 else np.empty(0, dtype=np.int64)
+    if not len(first):
+        return
+    varying = int(np.bitwise_or.reduce(fps[first] ^ fps[first + 1]))  # bits that all members of a bucket share add nothing
+    planes = bit_planes(fps)[[b for b in range(BITS) if (varying >> b) & 1]]
+    last = planes.shape[1] - 1
+    active = np.arange(n)
+    for lag in range(1, n):
+        active = active[active + lag < n]
+        active = active[bucket[active + lag] == bucket[active]]
+        if not len(active):
+            return
+        words, place = np.unique(active >> 6, return_inverse=True)
+        flags = np.zeros(len(words) * 64, dtype=np.uint8)
+        flags[place * 64 + (active & 63)] = 1
+        counters = Counters(~np.packbits(flags, bitorder="little").view(np.uint64), radius)
+        skip, shift = divmod(lag, 64)
+        near, far = np.minimum(words + skip, last), np.minimum(words + skip + 1, last)
+        for step, plane in enumerate(planes):
+            behind = plane[near]
+            if shift:
+                behind = (behind >> np.uint64(shift)) | (plane[far] << np.uint64(64 - shift))
+            counters.add(plane[words] ^ behind)
+            if step % TEST_PLANES == TEST_PLANES - 1:
+                live = np.flatnonzero(counters.beyond() != FULL)
+                if len(live) < len(words):
+                    if not len(live):
+                        words = words[:0]
+                        break
+                    counters.keep(live)
+                    words, near, far = words[live], near[live], far[live]
+        if len(words):
+            within = np.flatnonzero(np.unpackbits((~counters.beyond()).view(np.uint8), bitorder="little"))
+            i = words[within >> 6] * 64 + (within & 63)
+            yield i, i + lag
+
+
+def stars(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """(links, 2): every member of a bucket that is linked to others with the smallest one it is connected to there."""
+    order = np.lexsort((fps, bucket))
+    fps, bucket = fps[order], bucket[order]
+    parent = np.arange(len(fps))
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
-            i = parent[i]
+            i = int(parent[i])
         return i
 
-    def union(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+    def flat() -> None:
+        nonlocal parent
+        while (parent != (up := parent[parent])).any():
+            parent = up
 
-    if n <= 32:  # planes do not pay for a handful: compare by popcount
-        for i in range(n - 1):
-            for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius):
-                union(i, i + 1 + int(j))
-    else:
-        planes = bit_planes(fps)
-        varying = [b for b in range(BITS) if (x := np.bitwise_count(planes[b]).sum()) and x != n]
-        order = np.array(varying, dtype=np.int64)  # bits that all members share add nothing to a distance
-        valid = np.full(planes.shape[1], 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        if n % 64:
-            valid[-1] = (1 << (n % 64)) - 1
-        for i in range(n):
-            first = i // 64
-            mask = within_radius(planes[:, first:], int(fps[i]), radius, valid[first:], order)
-            hits = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")) + first * 64
-            for j in hits[hits > i]:
-                union(i, int(j))
-    return [(int(fps[i]), int(fps[r])) for i in range(n) if (r := find(i)) != i]
+    for i, j in close_pairs(fps, bucket, radius):
+        flat()
+        apart = parent[i] != parent[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    flat()
+    member = np.flatnonzero(parent != np.arange(len(parent)))
+    return np.stack((fps[member], fps[parent[member]]), axis=1)
 
 
 # ---------------------------------------------------------------- buckets
@@ -199,45 +246,39 @@ def bucket_keys(fp, radius: int = RADIUS, blocks: int = BLOCKS):
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (choice, bits) in; star links of each bucket out. A bucket may span batches."""
-    held: list[np.ndarray] = []
-    key = None
-
-    def close() -> list[tuple[int, int]]:
-        members = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
-        return stars(np.unique(members), radius) if len(members) > 1 else []
+    """Rows sorted by (choice, bits) in; star links of each bucket out. Buckets are closed before they are compared."""
+    names = ("choice", "bits", "fp")
+    held: list[list[np.ndarray]] = [[], [], []]
+    rows, enough = 0, PLANE_ROWS
+
+    def closed(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rows, enough
+        choice, bits, fps = (np.concatenate(h) for h in held)
+        change = np.flatnonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])) + 1
+        end = len(fps) if last else int(change[-1]) if len(change) else 0  # the last bucket may go on
+        starts = np.zeros(end, dtype=np.int64)
+        starts[change[change < end]] = 1
+        bucket = np.cumsum(starts)
+        for c in np.unique(choice[:end]):  # the members of a bucket differ in the bits its choice leaves open, so choices do not mix
+            mine = np.flatnonzero(choice[:end] == c)
+            shared = np.bincount(bucket[mine] - bucket[mine[0]])[bucket[mine] - bucket[mine[0]]] > 1
+            mine = mine[shared]
+            if len(mine) and len(found := stars(fps[mine].astype(np.int64).view(np.uint64), bucket[mine], radius)):
+                both = found.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        for h, values in zip(held, (choice, bits, fps), strict=True):
+            h[:] = [values[end:]]
+        rows = len(fps) - end
+        enough = max(PLANE_ROWS, 2 * rows)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        choice = batch.column(0).to_numpy(zero_copy_only=False)
-        bits = batch.column(1).to_numpy(zero_copy_only=False)
-        fps = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])) + 1
-        edges = np.concatenate(([0], cuts, [len(fps)]))
-        out: list[tuple[int, int]] = []
-        if key is not None and key != (choice[0], bits[0]):
-            out += close()
-            held = []
-        sizes = np.diff(edges)
-        last = len(sizes) - 1
-        for g in np.flatnonzero(sizes > 1) if last else []:
-            if 0 < g < last:
-                out += stars(fps[edges[g] : edges[g + 1]], radius)
-        held.append(fps[edges[0] : edges[1]])
-        if last:
-            out += close()
-            held = [fps[edges[last] : edges[last + 1]]]
-        key = (choice[-1], bits[-1])
-        if out:
-            yield _links(out)
-    if out := close():
-        yield _links(out)
-
-
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(pairs, dtype=np.uint64).view(np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        for h, name in zip(held, names, strict=True):
+            h.append(batch.column(name).to_numpy(zero_copy_only=False))
+        rows += batch.num_rows
+        if rows >= enough:
+            yield from closed(False)
+    if rows:
+        yield from closed(True)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -254,118 +295,32 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b), by large-star/small-star.
 
-    Every round is a written table; only one count per round comes back to the driver.
+    Every round is a written table, and so is the smallest neighbour of each node, so that the join on a hot
+    node can be split; one count per round comes back to the driver.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     previous = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "low")
+        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: every smaller neighbour of a node, and the node, hang on its smallest neighbour
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
+        least = written(down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
+        small = down.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = written(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        removed(now, low, down, least)
+        now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == previous:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.written_path = now.written_path
+            return out
         previous = state
     raise RuntimeError("components did not settle")
 
 
-# ---------------------------------------------------------------- similar shingle sets
-
-
-def _set_batch(shingle: int, order=None, shingles: bool = True):
-    """Digest, size and shingles of each text's set: all of them, or with ``order`` (common hashes, their counts) its prefix.
-
-    Without ``shingles`` these stay empty. The prefix holds the rarest shingles, so many that two sets of similarity PARTS / WHOLE or more share one.
-    """
-
-    def batch(texts: list) -> dict:
-        known, counts = order.value if order is not None else (None, None)
-        out: dict[str, list] = {"fp": [], "n": [], "shingles": []}
-        for text in texts:
-            found = np.unique(shingle_hashes(text, shingle))
-            n = len(found)
-            out["fp"].append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if n else 0)
-            out["n"].append(n)
-            if order is not None and n:
-                rank = np.zeros(n, dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    rank = np.where(known[at] == found, counts[at], 0)
-                found = found[np.lexsort((found, rank))[: n + (-n * PARTS // WHOLE) + 1]]
-            out["shingles"].append(found.view(np.int64) if shingles else [])
-        return out
-
-    return batch
-
-
-def with_set(df: DataFrame, text: str = "text", out: str = "set", shingle: int = SIMILAR_SHINGLE, order=None, shingles: bool = True) -> DataFrame:
-    """``df`` with a struct ``out``: digest ``fp`` of the shingle set (zero when it is empty), size ``n`` and ``shingles``."""
-    make = text_udf(df.sparkSession, lambda: _set_batch(shingle, order, shingles), "fp long, n int, shingles array<long>")
-    return df.withColumn(out, make(F.col(text)))
-
-
-def _common_shingles(texts: DataFrame, shingle: int):
-    """Broadcast (hashes, counts) of the commonest shingles of a sample: at most COMMON."""
-    total = texts.count()
-    some = texts.sample(SAMPLE / total, SEED) if total > SAMPLE else texts
-    counted = with_set(some, shingle=shingle).select(F.explode("set.shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-    top = counted.where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()  # at most COMMON rows
-    hashes, counts = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
-    by = np.argsort(hashes)
-    return texts.sparkSession.sparkContext.broadcast((hashes[by], counts[by]))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets have a similarity of PARTS / WHOLE or more, compared exactly."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return sized.where(f"{WHOLE} * common >= {PARTS} * (sum - common)").select("a", "b")
-
-
-def _may_be_similar() -> str:
-    """Holds in the first shingle that two similar sets share: the sizes, and what can still be common from here on."""
-    return f"{WHOLE} * least(l.n, r.n) >= {PARTS} * greatest(l.n, r.n) and {PARTS + WHOLE} * least(l.n - l.pos, r.n - r.pos) >= {PARTS} * (l.n + r.n)"
-
-
-def similar_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, root) of the sets joined by similarity; None if there are none.
-
-    ``buckets`` (h, fp, n, pos) has the sets that share a prefix shingle. Pairs of one component need no comparison, so
-    while the open pairs outnumber the rows by far, each bucket first compares its members with one of
-    them, another one each round; a large group of near copies closes in these. Then every pair still open is compared.
-    """
-    rows, edges, roots = buckets.count(), None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            state = buckets.withColumn("root", F.col("fp"))
-        else:
-            state = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        state = written(state, "state")
-        sizes = state.groupBy("h", "root").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        still = (sizes.agg(F.sum(F.col("m") * F.col("m") - F.col("own"))).first()[0] or 0) / 2
-        if not still:
-            break
-        every = still <= 4 * rows or turn == STAR_ROUNDS
-        if every:
-            met = state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where("l.fp < r.fp")
-        else:
-            centre = state.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "pos", "root")).alias("c")).select("h", "c.fp", "c.n", "c.pos", "c.root")
-            met = state.alias("l").join(centre.alias("r"), F.col("l.h") == F.col("r.h"))
-        pairs = met.where(f"l.root <> r.root and {_may_be_similar()}").select(F.greatest("l.fp", "r.fp").alias("a"), F.least("l.fp", "r.fp").alias("b"))
-        found = written(_similar(written(pairs.distinct(), "pairs"), sets), "similar")
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-        if every:
-            break
-    return roots
-
-
 # ---------------------------------------------------------------- operator
 
 
@@ -379,56 +334,19 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     rows = written(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).select("id", "fp"), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    return _grouped(rows, distinct, components(links(distinct, radius))).select("id", "fp", "component")
+    roots = components(links(distinct, radius))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component")), "smallest")
+    classes = written(rooted.join(smallest, "root").select("class_fp", "component"), "classes")
+    removed(distinct, roots, smallest)
+    return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(id, digest of the shingle set, component id) for every row of ``df``.
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """``similar.keep_one``: one document of each near-duplicate group."""
+    from tamarack.llm import similar
 
-    Texts whose sets of ``shingle``-word shingles have a similarity of PARTS / WHOLE or more are linked; a component is
-    everything reachable. Rows, null ids and texts without words are treated as in ``fingerprint_groups``.
-    """
-    return _set_groups(df, id_col, text, shingle).select("id", "fp", "component")
-
-
-def _set_groups(df: DataFrame, id_col: str, text: str, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """``near_duplicates`` with ``root``, which tells the components apart where they share an id or have none."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    order = _common_shingles(texts.select("text"), shingle)
-    rows = written(with_set(texts, shingle=shingle, order=order).select("id", "set.fp", "set.n", F.col("set.shingles").alias("prefix")), "prefixes")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
-    places = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = places.withColumn("members", F.count("*").over(Window.partitionBy("h"))).where("members > 1")
-    buckets = written(shared.select("h", "fp", "n", "pos"), "buckets")
-    wanted = written(buckets.select("fp").distinct(), "wanted")
-    members = with_set(texts.select("text"), shingle=shingle).select("set.fp", "set.shingles").join(wanted, "fp", "left_semi")
-    sets = written(members.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
-    return _grouped(rows.select("id", "fp"), distinct.select("fp", "first_id"), similar_components(buckets, sets))
-
-
-def _grouped(rows: DataFrame, distinct: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(id, fp, root, component) of ``rows`` (id, fp): the smallest ``first_id`` of ``distinct`` (fp, first_id) under the same root."""
-    if roots is None:
-        rooted = distinct.select("fp", "first_id", F.col("fp").alias("root"))
-    else:
-        rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "root", "component")
-    return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "root", "component")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each near-duplicate group: the one with the smallest id.
-
-    Rows that share that id and its shingle set (repeated rows) are one row too; rows of one id in different groups
-    are not. A row with a null id stays only where its whole group has none. All columns are kept as they are.
-    """
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp")).alias("first")
-    kept = _set_groups(docs, id_col, text).groupBy("root").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
-    fp, kept_id, kept_fp = (free_name(docs, n) for n in ("fp", "kept_id", "kept_fp"))
-    marked = with_set(docs, text, fp, shingles=False).withColumn(fp, F.col(f"`{fp}`.fp"))
-    found = marked.join(kept.toDF(kept_id, kept_fp), F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(fp) == F.col(kept_fp)))
-    return found.dropDuplicates([fp]).select(*docs.columns)  # one set for each group, so one row
+    return similar.keep_one(docs, **params)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
