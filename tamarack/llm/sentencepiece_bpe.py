@@ -8,10 +8,13 @@ position, so the ids are read off backwards from the end. Pair tests are memoize
 
 A unit is a stretch of text that no piece can cross. Where a unit may be cut is
 proved from the vocabulary when the model is loaded, not assumed.
+
+Decoding reads the ids alone: pieces by number, runs of byte pieces as UTF-8. Nothing of the text that was encoded is kept for it.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import string
@@ -20,17 +23,22 @@ from array import array
 from collections import Counter
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, text_udf
+from tamarack.llm.common import added, documents, text_udf
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Bounds of the per-worker memo tables; reaching one clears it, which costs time and changes nothing.
-MAX_UNITS, MAX_PAIRS, MAX_UNIT_CHARS = 1_000_000, 1_000_000, 64
+#: Bounds of the per-worker memo tables; what falls out is made again, which costs time and changes nothing. Units are
+#: kept in two generations of MAX_UNITS: when the younger one is full it becomes the older one, whose units come back when they are met.
+MAX_UNITS, MAX_PAIRS, MAX_UNIT_CHARS = 150_000, 500_000, 64
 BIG_ENDIAN = sys.byteorder == "big"
+#: Every byte that is not part of a valid character becomes one replacement character.
+EACH = "tamarack-each"
+codecs.register_error(EACH, lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class Vocabulary:
@@ -147,6 +155,12 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.silent = {v.surface[v.bos], v.surface[v.eos]}
+        self.shown = ["" if p in self.silent else p.replace(SPACE, " ") for p in v.surface]
+        self.byte_of = np.full(len(v.surface), -1, dtype=np.int16)
+        for b, i in v.byte_id.items():
+            self.byte_of[i] = b
         stop = f"{SPACE}*[^\\W_]++(?=[{re.escape(v.stops)}])|" if v.stops else ""
         self.cut = re.compile(f"{stop}{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -183,22 +197,17 @@ class PrefixTable:
         return out
 
     def unit(self, unit: str) -> bytes:
-        """Ids of one unit as little-endian 32-bit integers.
-
-        That they decode to the unit is checked here, so that ``encode`` can give the decoded text at once.
-        """
-        tokens = self.tokens(unit)
-        if -1 in tokens:
-            tokens = self._with_bytes(unit, tokens)
-        elif "".join([self.vocab.surface[t] for t in tokens]) != unit:
-            raise AssertionError(f"ids of {unit!r} do not decode to it")
-        made = array("I", tokens)
-        if BIG_ENDIAN:
-            made.byteswap()
-        made = made.tobytes()
+        """Ids of one unit as little-endian 32-bit integers."""
+        made = self.older.get(unit)
+        if made is None:
+            tokens = self.tokens(unit)
+            made = array("I", self._with_bytes(unit, tokens) if -1 in tokens else tokens)
+            if BIG_ENDIAN:
+                made.byteswap()
+            made = made.tobytes()
         if len(unit) <= MAX_UNIT_CHARS:
             if len(self.units) >= MAX_UNITS:
-                self.units.clear()
+                self.older, self.units = self.units, {}
             self.units[unit] = made
         return made
 
@@ -208,42 +217,36 @@ class PrefixTable:
         for token in tokens:
             if token >= 0:
                 out.append(token)
-                if not unit.startswith(surface[token], at):
-                    raise AssertionError(f"ids of {unit!r} do not decode to it")
                 at += len(surface[token])
             else:
                 out.extend([byte_id[b] for b in unit[at].encode()])
                 at += 1
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids without begin and end, the text they decode to) of a whole text; null is empty."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text without begin and end, little-endian 32-bit; null is empty."""
         if not text:
-            return b"", ""
-        marked = SPACE + text.replace(" ", SPACE)
+            return b""
         known, make = self.units.get, self.unit
-        ids = b"".join([known(u) or make(u) for u in self.cut.findall(marked)])
-        return ids, marked[1:].replace(SPACE, " ")  # decoding drops the dummy space in front
+        return b"".join([known(u) or make(u) for u in self.cut.findall(SPACE + text.replace(" ", SPACE))])
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian 32-bit ids, as the library decodes them; begin and end are silent."""
-        numbers = array("I")
-        numbers.frombytes(ids)
-        byte = {i: b for b, i in self.vocab.byte_id.items()}
-        out, pending = [], bytearray()
-        for i in numbers:
-            if i in byte:
-                pending.append(byte[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if i not in (self.vocab.bos, self.vocab.eos):
-                out.append(self.vocab.surface[i])
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out)
-        return (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")
+        numbers = np.frombuffer(ids, dtype="<u4")
+        as_bytes = self.byte_of[numbers]
+        if (as_bytes < 0).all():
+            text = "".join(map(self.shown.__getitem__, numbers.tolist()))
+        else:  # runs of byte pieces are UTF-8 of their own
+            out, is_byte = [], as_bytes >= 0
+            edges = [0, *(np.flatnonzero(is_byte[1:] != is_byte[:-1]) + 1).tolist(), len(numbers)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if is_byte[start]:
+                    out.append(as_bytes[start:stop].astype(np.uint8).tobytes().decode("utf-8", EACH))
+                else:
+                    out.extend(map(self.shown.__getitem__, numbers[start:stop].tolist()))
+            text = "".join(out)
+        first = next((p for p in map(self.vocab.surface.__getitem__, numbers) if p not in self.silent), "")
+        return text[1:] if first.startswith(SPACE) else text  # the dummy space in front goes
 
 
 _TABLES: dict[str, PrefixTable] = {}
@@ -261,41 +264,40 @@ def _ids_batch(path: str):
     begin, end = (i.to_bytes(4, "little") for i in (table.vocab.bos, table.vocab.eos))
 
     def batch(texts: list) -> dict:
-        out = {"ids": [], "decoded": []}
-        for text in texts:
-            ids, decoded = table.encode(text)
-            out["ids"].append(begin + ids + end)
-            out["decoded"].append(decoded)
-        return out
+        ids = [begin + table.encode(text) + end for text in texts]
+        return {"ids": ids, "decoded": [table.decode(i) for i in ids]}
 
     return batch
 
 
 def _digest_batch(path: str):
-    encode = _ids_batch(path)
+    table = prefix_table(path)
+    begin, end = (i.to_bytes(4, "little") for i in (table.vocab.bos, table.vocab.eos))
 
     def batch(texts: list) -> dict:
-        made = encode(texts)
-        return {
-            "n_tokens": [len(i) // 4 for i in made["ids"]],
-            "ids_sha256": [hashlib.sha256(i).hexdigest() for i in made["ids"]],
-            "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in made["decoded"]],
-        }
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in texts:  # one text at a time: only digests are kept
+            ids = begin + table.encode(text) + end
+            out["n_tokens"].append(len(ids) // 4)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
+        return out
 
     return batch
 
 
 def encode_decode(df: DataFrame, model_path: str, text: str = "text", out: str = "pieces") -> DataFrame:
-    """``df`` with a struct ``out``: ``ids`` (little-endian 32-bit, begin and end included) and ``decoded`` text.
+    """``df`` and, last, a struct of ``ids`` (little-endian 32-bit, begin and end included) and the ``decoded`` text of these ids.
 
-    Null and empty texts give begin and end alone and an empty text. Repeated rows are encoded alike.
+    Null and empty texts give begin and end alone and an empty text. Repeated rows are encoded alike. The
+    column is called ``out``; where ``df`` has that name, underscores come in front.
     """
     make = text_udf(df.sparkSession, lambda: _ids_batch(model_path), "ids binary, decoded string")
-    return df.withColumn(out, make(F.col(text)))
+    return added(df, out, make(F.col(text)))
 
 
 def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; ids themselves never leave the worker."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, null and empty texts included; ids themselves never leave the worker."""
     make = text_udf(df.sparkSession, lambda: _digest_batch(model_path), "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return df.select(F.col(id_col).alias("doc_id"), make(F.col(text)).alias("d")).select("doc_id", "d.*")
 
