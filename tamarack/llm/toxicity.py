@@ -5,6 +5,9 @@ forms share one). Filters of width 1, 2 and 3 slide over the words of the whole
 strongest answer of each filter, and a logistic layer reads the pooled values. A threshold for each
 language is calibrated on all labelled rows that the fit did not see, weighted to the label counts of the input; the language is told from function words of the
 text itself, and the score is shifted so that 0.5 is that language's threshold.
+
+A table is scored in one pass: logits and languages of all its rows are written once, the thresholds come from those of
+the labelled rows, and the scores follow from both. No text is shuffled but the bounded sample that is fitted.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, free_name, text_udf, written
+from tamarack.llm.common import added, documents, free_name, removed, text_udf, written
 
 #: Documented bounds of the training sample: rows of either label, and characters of a sampled text.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2000, 3000, 20_000
@@ -26,7 +29,7 @@ PREFIXES = (3, 4, 5)
 EPOCHS, RATE = 12, 0.15
 #: Every KEPT-th row of the sample stays out of the fit. Logits are counted in bins of 1 / BINS, from -SPAN to SPAN.
 KEPT, BINS, SPAN = 4, 1024, 64
-MAX_WORDS, CHUNK = 400_000, 1 << 16
+MAX_WORDS, CHUNK = 150_000, 1 << 16
 WORD = re.compile(r"[^\W\d_]+")
 #: Common function words that tell the languages of the corpus apart.
 FUNCTION_WORDS = {
@@ -244,7 +247,8 @@ class Scorer:
         bias = np.concatenate(self.model["bias"])
         act = np.tanh(np.where(np.isfinite(pooled), pooled, 0) + bias)
         langs = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), -1)
-        return act @ self.model["out"] + self.model["out_bias"], langs
+        # summed row by row, so that a text has the same logit in any batch
+        return (act.astype(np.float64) * self.model["out"]).sum(axis=1) + self.model["out_bias"], langs
 
     def _score(self, ids: np.ndarray, owners: list, pooled: np.ndarray, votes: np.ndarray) -> None:
         pad = max(WIDTHS) - 1
@@ -279,35 +283,51 @@ def is_held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out; thresholds come from all others of these rows.
-
-    At most MAX_POSITIVE and MAX_NEGATIVE ids, in the order of a hash of the id, and of those the texts of
-    at most MAX_CHARS characters. Null ids, labels and texts do not train.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> tuple[Model, DataFrame, list]:
+    """The fitted model, the written (sample_id, sample_label) of all labelled rows that are not held out, and the ids the fit saw."""
     ids = written(labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("sample_id")).agg(F.max(label).alias("sample_label")), "labelled")
     picks = [ids.where(F.col("sample_label") == v).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for v, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    bounded = picks[0].unionByName(picks[1])
+    bounded = written(picks[0].unionByName(picks[1]), "sample")
     rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text).alias("sample_text")).where(F.length("sample_text").between(1, MAX_CHARS))
-    got = rows.join(F.broadcast(bounded), "sample_id").dropDuplicates(["sample_id"]).collect()  # at most MAX_POSITIVE + MAX_NEGATIVE rows
+    chosen = rows.join(F.broadcast(bounded), "sample_id").groupBy("sample_id", "sample_label").agg(F.min("sample_text").alias("sample_text"))
+    got = chosen.collect()  # at most MAX_POSITIVE + MAX_NEGATIVE rows of at most MAX_CHARS characters
+    removed(bounded)
     got.sort(key=lambda r: (zlib.crc32(str(r["sample_id"]).encode()), r["sample_id"]))
     model = fit([r["sample_text"] for r in got], [r["sample_label"] for r in got])
+    return model, ids, [(r["sample_id"],) for i, r in enumerate(got) if i % KEPT != KEPT - 1]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fit on a bounded sample of the labelled rows that are not held out; thresholds come from all others of these rows.
+
+    At most MAX_POSITIVE and MAX_NEGATIVE ids, in the order of a hash of the id, and of those the texts of
+    at most MAX_CHARS characters. Null ids, labels and texts do not train; of an id with several labels the highest
+    counts, of its texts the smallest is fitted and every one counts for the thresholds. Without rows of both labels
+    nothing is learned and every score is 0.
+    """
+    return _logits(docs, labels, id_col, text, label, [id_col])[0]
+
+
+def _logits(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, columns: list[str]) -> tuple[Model, DataFrame, str]:
+    """The trained model, the written ``columns`` of all rows of ``docs`` with a struct of logit and language, and its name."""
+    model, ids, seen = _fitted(docs, labels, id_col, text, label)
+    packed = docs.sparkSession.sparkContext.broadcast(model.packed())  # a model of fixed size
+    make = text_udf(docs.sparkSession, lambda: _logit_batch(packed), "logit double, lang int, words boolean")
+    z = free_name(docs, "z")
+    table = written(docs.select(*columns, make(F.col(text)).alias(z)), "logits")
     if model.trained:
-        seen = [(r["sample_id"],) for i, r in enumerate(got) if i % KEPT != KEPT - 1]
-        every = docs.select(F.col(id_col).alias("sample_id"), F.col(text).alias("sample_text")).where("sample_text <> ''").join(ids, "sample_id")
-        model.thresholds = _thresholds(model, every, docs.sparkSession.createDataFrame(seen, ids.select("sample_id").schema)) or model.thresholds
-    return model
+        scored = table.select(F.col(id_col).alias("sample_id"), f"{z}.*").where("words").join(ids, "sample_id")
+        model.thresholds = _thresholds(scored, docs.sparkSession.createDataFrame(seen, ids.select("sample_id").schema)) or model.thresholds
+    removed(ids)
+    return model, table, z
 
 
-def _thresholds(model: Model, rows: DataFrame, seen: DataFrame) -> dict[int, float]:
-    """Thresholds from the logits of all ``rows`` (sample_id, sample_label, sample_text) whose ids are not in ``seen``.
+def _thresholds(scored: DataFrame, seen: DataFrame) -> dict[int, float]:
+    """Thresholds from ``scored`` (sample_id, sample_label, logit, lang), less the ids in ``seen``.
 
     Only counts by language, label and bin of the logit come to the driver. The fit takes more of one label than of the
-    other from ``rows``, so what is left counts by the labels of all of them.
+    other, so what is left counts by the labels of all rows.
     """
-    packed = rows.sparkSession.sparkContext.broadcast(model.packed())
-    make = text_udf(rows.sparkSession, lambda: _logit_batch(packed), "logit double, lang int")
-    scored = rows.select("sample_id", "sample_label", make(F.col("sample_text")).alias("z")).select("sample_id", "sample_label", "z.*").dropDuplicates(["sample_id"])
     marked = scored.join(F.broadcast(seen.withColumn("fitted", F.lit(True))), "sample_id", "left")
     place = F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("logit"))) * BINS)
     of = lambda v: F.sum((F.col("sample_label") == v).cast("long"))
@@ -325,35 +345,50 @@ def _logit_batch(packed):
 
     def batch(texts: list) -> dict:
         logits, langs = scorer.logits(texts)
-        return {"logit": logits.astype(np.float64), "lang": langs.astype(np.int32)}
+        return {"logit": logits.astype(np.float64), "lang": langs.astype(np.int32), "words": [bool(t) for t in texts]}
 
     return batch
 
 
+def _score(model: Model, z: str):
+    """The calibrated score of a logit and its language as a column."""
+    if not model.trained:
+        return F.lit(0.0)
+    shift = F.lit(float(model.thresholds.get(-1, 0.0)))
+    for lang, cut in sorted(model.thresholds.items()):
+        if lang >= 0:
+            shift = F.when(F.col(f"{z}.lang") == lang, F.lit(float(cut))).otherwise(shift)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col(f"{z}.logit") - shift))))
+
+
 def _score_batch(packed):
     scorer = Scorer(packed.value)
     return lambda texts: {"score": scorer.scores(texts)}
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with ``out``: the calibrated score of every whole text (0 to 1); 0.5 or more is toxic.
+    """``df`` and, as its last column, the calibrated score of every whole text (0 to 1); 0.5 or more is toxic.
 
-    Null and empty texts score like a text without words; equal texts score alike.
+    Null and empty texts score like a text without words; equal texts score alike. The column is called
+    ``out``; where ``df`` has that name, underscores come in front.
     """
     packed = df.sparkSession.sparkContext.broadcast(model.packed())  # a model of fixed size
     make = text_udf(df.sparkSession, lambda: _score_batch(packed), "score double")
-    return df.withColumn(out, make(F.col(text))["score"])
+    return added(df, out, make(F.col(text))["score"])
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns stay as they are."""
-    name = free_name(docs, "score")
-    return with_score(docs, train(docs, labels), out=name).where(F.col(name) < 0.5).drop(name)
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all columns stay as they are.
+
+    Null and empty texts, null ids and repeated rows are scored like any other row. Empty in, empty out.
+    """
+    model, table, z = _logits(docs, labels, id_col, text, label, docs.columns)
+    return table.where(_score(model, z) < 0.5).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: doc_id, held_out, score and predicted of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = with_score(docs, model)
-    return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model, table, z = _logits(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic", ["doc_id"])
+    scored = table.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), _score(model, z).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
