@@ -62,10 +62,15 @@ def _search(shares: DataFrame, holds, lo: int, hi: int, largest: bool) -> int:
     return lo
 
 
+def _sum(x):
+    """A sum of doubles that does not depend on the order of the rows: each is rounded to 20 decimals, the sum is exact."""
+    return F.sum(x.cast("decimal(38,20)")).cast("double")
+
+
 def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> float:
     """The mixing exponent for a table with column ``p`` of positive shares; 1 where it is empty."""
     power = lambda a: F.pow("p", F.lit(a))
-    wide = lambda a: F.log(F.sum(power(a))) - F.lit(a) * F.sum(power(a) * F.log("p")) / F.sum(power(a)) >= F.lit(entropy) * F.log(F.count("p"))
+    wide = lambda a: F.log(_sum(power(a))) - F.lit(a) * _sum(power(a) * F.log("p")) / _sum(power(a)) >= F.lit(entropy) * F.log(F.count("p"))
     rare = lambda a: F.pow(F.max("p") / F.min("p"), F.lit(1.0 - a)) <= repeats
     if shares.isEmpty():
         return 1.0
@@ -80,7 +85,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     shares = written(totals.withColumn("p", F.col("tokens") / F.lit(float(whole or 1))), "shares")
     real = shares.where("p > 0")
     a = exponent(real, entropy, repeats)
-    z, reach = real.agg(F.sum(F.pow("p", F.lit(a))), F.max(F.col("tokens") / F.pow("p", F.lit(a)))).first()
+    z, reach = real.agg(_sum(F.pow("p", F.lit(a))), F.max(F.col("tokens") / F.pow("p", F.lit(a)))).first()
     total = float(budget) if budget is not None else (reach or 0.0) * (z or 0.0)
     weight = F.when(F.col("p") > 0, F.pow("p", F.lit(a)) / F.lit(z or 1.0)).otherwise(0.0)
     sources = shares.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * total + 0.5))

@@ -1,8 +1,8 @@
 """Exact token counts of a byte-level BPE tokenizer, with a whole-token shortcut.
 
-A text is cut into pre-tokens; BPE never merges across them. When the tokenizer is loaded, every
+A text is cut into pre-tokens; BPE never merges across them. Once, on the driver, every
 vocabulary string is merged on its own: those that come out as one token are proved to be whole
-tokens. A pre-token in that set counts one without any merging; only the rest is merged (memoized).
+tokens. The proved table is sent to the workers. A pre-token in it counts one without any merging; only the rest is merged (memoized).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import documents, text_udf
+from tamarack.llm.common import added, documents, text_udf
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -38,7 +38,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WholeTokens:
-    """Counter for one tokenizer file; one per Python worker."""
+    """Counter for one tokenizer file; made on the driver, copied to each Python worker."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -70,6 +70,13 @@ class WholeTokens:
                 self.whole.add(text)
         self.known: dict[str, int] = dict.fromkeys(self.whole, 1)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.known = dict.fromkeys(self.whole, 1)
+
     def merged(self, symbols: list[str]) -> int:
         """Number of tokens after merging: lowest rank first, leftmost at equal rank; n log n in the length."""
         n, rank = len(symbols), self.rank
@@ -135,21 +142,25 @@ _COUNTERS: dict[str, WholeTokens] = {}
 
 
 def counter(path: str) -> WholeTokens:
-    """The tokenizer's counter; built (and its shortcut proved) once per Python worker."""
+    """The tokenizer's counter; built (and its shortcut proved) once per process."""
     if path not in _COUNTERS:
         _COUNTERS[path] = WholeTokens(path)
     return _COUNTERS[path]
 
 
-def _count_batch(path: str):
-    table = counter(path)
+def _count_batch(sent):
+    table = sent.value
     return lambda texts: {"n": [table.count(t) for t in texts]}
 
 
 def with_token_count(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """``df`` with the exact number of tokens of every whole text. Null and empty texts have none."""
-    make = text_udf(df.sparkSession, lambda: _count_batch(tokenizer_path), "n long")
-    return df.withColumn(out, make(F.col(text))["n"])
+    """``df`` and, as its last column, the exact number of tokens of every whole text. Null and empty texts have none.
+
+    The column is called ``out``; where ``df`` has that name, underscores come in front. Only the driver reads the tokenizer's file.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(counter(tokenizer_path))  # a vocabulary of fixed size
+    make = text_udf(df.sparkSession, lambda: _count_batch(sent), "n long")
+    return added(df, out, make(F.col(text))["n"])
 
 
 def default_tokenizer() -> str:
