@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import written
+from tamarack.llm.common import checked_broadcast, written
 from tamarack.session import ship_package, table
 
 MAGIC = 0x184D2A5D
@@ -88,18 +88,35 @@ def frames(data: bytes) -> Iterator[bytes]:
         content = zstandard.ZstdDecompressor().decompress(content)
     kind = zstandard.DICT_TYPE_FULLDICT if content[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind))
-    rest = memoryview(data)[8 + size :]
-    while rest:
-        one = reader.decompressobj()
+    at = 8 + size
+    while at < len(data):
+        end = _frame_end(data, at)
         try:
-            out = one.decompress(rest)
+            out = reader.decompressobj().decompress(memoryview(data)[at:end])
         except zstandard.ZstdError as error:
             raise WarcError(f"frame is damaged: {error}") from error
-        if not one.eof:
-            raise WarcError("frame is cut off")
         yield out
-        left = len(one.unused_data)
-        rest = rest[len(rest) - left :] if left else rest[:0]
+        at = end
+
+
+def _frame_end(data: bytes, at: int) -> int:
+    """Where the frame that starts at ``at`` ends, from its header and the sizes of its blocks; nothing is decoded."""
+    try:
+        checked = zstandard.get_frame_parameters(memoryview(data)[at : at + 18]).has_checksum
+        at += zstandard.frame_header_size(memoryview(data)[at : at + 18])
+    except zstandard.ZstdError as error:
+        raise WarcError(f"no frame header: {error}") from error
+    last = False
+    while not last:
+        head = int.from_bytes(data[at : at + 3], "little")
+        last, kind = bool(head & 1), head >> 1 & 3
+        if at + 3 > len(data) or kind == 3:
+            raise WarcError("frame is cut off or damaged")
+        at += 3 + (1 if kind == 1 else head >> 3)  # a repeated byte is one byte long
+    at += 4 * checked
+    if at > len(data):
+        raise WarcError("frame is cut off")
+    return at
 
 
 def parse(raw: bytes) -> dict:
@@ -189,13 +206,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Rows of equal payloads of at least ``min_bytes`` bytes: those with the largest page_id (the same row repeated
     counts as itself) are responses, others revisit it. Null html is an empty payload; a null page_id
-    counts as the smallest, a null url becomes ``about:blank``. Only the digest and the ids are grouped; the
-    payloads move once, and equal payloads may be split over tasks.
+    counts as the smallest, a null url becomes ``about:blank``. Only digests, lengths and ids are grouped; the
+    payloads do not move unless so many of them are repeated that their digests can't be broadcast. Empty in, empty out;
+    other columns of ``pages`` are not read.
     """
     ship_package(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sum", F.sha1("payload"))
-    twins = rows.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("sum").alias("twin")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("twin", "last")
-    marked = rows.join(twins, F.col("sum") == F.col("twin"), "left")
+    keyed = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select("page_id", F.octet_length("payload").alias("size"), F.sha1("payload").alias("twin"))
+    twins = keyed.where(F.col("size") >= min_bytes).groupBy("twin", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("twin", "size", "last")
+    marked = rows.join(checked_broadcast(written(twins, "twins")), (F.col("sum") == F.col("twin")) & (F.octet_length("payload") == F.col("size")), "left")
     original = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return written(marked.select("page_id", "url", "payload", "sum", original.alias("original")).mapInArrow(_pack, "records long, archive binary"), "warc")
 
