@@ -18,7 +18,7 @@ def odd(spark):
         (5, "word " * 30_000, "de", "", 150_000),
         (6, "éß \U0001f600 中文 ▁ \x00 end\n\n", "fr", "b", 1),
     ]
-    clash = ["score", "fp", "block", "epoch", "ids", "masked", "kept_id", "mix_source", "id", "component"]
+    clash = ["score", "fp", "block", "epoch", "ids", "masked", "kept_id", "mix_source", "id", "component", "z", "place", "mark", "pii", "secrets", "pieces", "n_tokens", "media", "decoded", "gone", "node"]
     df = frame(spark, rows)
     for name in clash:
         df = df.selectExpr("*", f"'keep' as `{name}`")
