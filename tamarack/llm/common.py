@@ -17,6 +17,8 @@ from tamarack.session import ship_package
 
 #: Input bytes of an Arrow batch that become Python objects at a time (a single longer value is taken alone).
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, where the session still has Spark's default: a batch lies in memory twice, in the JVM and in Python.
+BATCH_BYTES, BATCH_CONF, BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Rows up to which a table of keys is broadcast (8 to 40 bytes each); larger ones are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -68,6 +70,13 @@ def checked_broadcast(small: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(small) if small.count() <= most else small
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and keep Arrow batches of whole texts small."""
+    ship_package(spark)
+    if spark.conf.get(BATCH_CONF, None) in (None, BATCH_DEFAULT):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], schema: str) -> Callable[..., Column]:
     """An Arrow UDF over whole columns of values.
 
@@ -76,7 +85,7 @@ def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], sc
     The UDF is marked nondeterministic so that Catalyst evaluates it once per row
     instead of copying it into every filter and projection above it.
     """
-    ship_package(spark)
+    prepare(spark)
     fields = StructType.fromDDL(schema)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
@@ -88,6 +97,7 @@ def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], sc
             for at in range(0, max(n, 1), rows):
                 out = work(*(c.slice(at, rows).to_pylist() for c in columns))
                 yield pa.StructArray.from_arrays([pa.array(out[name], type=kind) for name, kind in kinds], names=[name for name, _ in kinds])
+        pa.default_memory_pool().release_unused()  # the worker serves other tasks later
 
     def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run((b,) for b in batches)

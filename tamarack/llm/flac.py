@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import added, documents, text_udf
-from tamarack.session import ship_package
+from tamarack.llm.common import added, documents, prepare, text_udf
 
 BLOCK, UNIT, RATE = 4096, 64, 8000
 LPC_ORDER, PRECISION, PARTITION_ORDER = 2, 12, 2
@@ -586,7 +585,7 @@ def pcm_blocks(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
 
     Null media give no rows.
     """
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(media).alias("media")).where("media is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import added, documents, removed, text_udf, written
-from tamarack.session import ship_package
+from tamarack.llm.common import added, documents, prepare, removed, text_udf, written
 
 SEED = 42
 BITS = 64
@@ -283,7 +282,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) stars that connect every two distinct fingerprints of column ``fp`` within ``radius``."""
-    ship_package(fps.sparkSession)
+    prepare(fps.sparkSession)
     keyed = fps.select(F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("k"), "fp").select("k.choice", "k.bits", "fp")
     dealt = keyed.repartition(F.col("choice"), F.col("bits")).sortWithinPartitions("choice", "bits")
     return dealt.mapInArrow(lambda it: _bucket_links(it, radius), "a long, b long").distinct()

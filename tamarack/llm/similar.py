@@ -7,6 +7,9 @@ exactly, so every similar pair that is left comes from shared rare shingles, whi
 similarity share a shingle among the first fifth of each in one common order. The order puts rare
 shingles first; a sample tells which are common, so it sets the work and never the result.
 
+Candidates pass two bounds before texts are cut again: what their prefixes share, and how many shingles they have in each
+of ``BINS`` bins of the hash, which says at most how many they can share.
+
 Texts are read, cut and hashed once, into a table that also holds the rows themselves; a row is known by its place
 there. Only the texts of candidate pairs are cut again, and no text is shuffled where the places to
 look up are few enough to broadcast.
@@ -26,6 +29,8 @@ SHINGLE = 5
 #: The similarity as a fraction: PARTS / WHOLE. ``OVERLAP``: shared shingles of two sets are at least PARTS / OVERLAP of both sizes together.
 PARTS, WHOLE = 4, 5
 OVERLAP = PARTS + WHOLE
+#: Bins in which the shingles of a set are counted.
+BINS = 128
 RADIUS = simhash.RADIUS
 #: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
 SAMPLE, COMMON = 10_000, 200_000
@@ -44,7 +49,7 @@ def prefix_size(n: int) -> int:
 def _mark_batch(shingle: int, order):
     def batch(texts: list) -> dict:
         known, counts = order.value
-        out: dict[str, list] = {"fp": [], "n": [], "sim": [], "prefix": []}
+        out: dict[str, list] = {"fp": [], "n": [], "sim": [], "prefix": [], "bins": []}
         for text in texts:
             hashes = simhash.shingle_hashes(text, shingle)
             found = np.unique(hashes)
@@ -52,6 +57,7 @@ def _mark_batch(shingle: int, order):
             out["sim"].append(int(np.uint64(simhash.majority(hashes)).view(np.int64)))
             out["fp"].append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED)).view(np.int64)) if n else 0)
             out["n"].append(n)
+            out["bins"].append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=BINS) if n else [])
             if n:
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known):
@@ -112,35 +118,49 @@ def _buckets(marked: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 SIZES = f"{WHOLE} * least(l.n, r.n) >= {PARTS} * greatest(l.n, r.n)"
-#: Holds in the first shingle that two similar sets share: what can still be common from here on.
-FROM_HERE = f"{OVERLAP} * least(l.n - l.pos, r.n - r.pos) >= {PARTS} * (l.n + r.n)"
 
 
 def _star_pairs(state: DataFrame, turn: int) -> DataFrame:
-    """(a, b): every member of a bucket with one member of it, another one each turn."""
+    """(a, b) open pairs of every member of a bucket with one member of it, another one each turn."""
     centre = state.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("c"))
     centre = written(centre.select("h", "c.node", "c.n", "c.pos", "c.root"), "centres")
-    met = state.alias("l").join(centre.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.root <> r.root and {SIZES} and {FROM_HERE}")
-    out = written(met.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct(), "pairs")
+    met = state.alias("l").join(centre.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.root <> r.root and {SIZES}")
+    out = _able(met)
     removed(centre)
     return out
 
 
 def _every_pair(state: DataFrame) -> DataFrame:
-    """(a, b) of all open pairs whose shared prefix shingles allow the similarity.
+    """(a, b) of all open pairs."""
+    return _able(state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES}"))
+
+
+def _able(met: DataFrame) -> DataFrame:
+    """(a, b) of the pairs in ``met`` (sides l and r, a row for each shared prefix shingle) whose prefixes allow the similarity.
 
     What two sets share is in both prefixes, or in the rest of the one whose prefix ends first: so their
     shared prefix shingles and the longer rest together bound it from above.
     """
-    met = state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES}")
     sized = met.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.struct("l.pos", F.col("r.pos").alias("other"))).alias("first"), F.min("l.n").alias("na"), F.min("r.n").alias("nb"))
     rest = lambda n: F.floor(F.col(n) * PARTS / WHOLE) - F.when(F.col(n) * PARTS % WHOLE == 0, 1).otherwise(0)  # noqa: E731  n less its prefix
     most = F.least(F.col("c") + F.greatest(rest("na"), rest("nb")), F.col("na") - F.col("first.pos"), F.col("nb") - F.col("first.other"))
     return written(sized.where(OVERLAP * most >= PARTS * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
 
 
+def _binned(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose counts in the bins allow the similarity: they share at most the smaller count of each bin."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    bins = written(_only(marked.select("node", "n", "bins"), wanted, "node"), "bins")
+    one, two = (bins.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    least = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    out = written(pairs.join(one, "a").join(two, "b").where(OVERLAP * least >= PARTS * (F.col("na") + F.col("nb"))).select("a", "b"), "binned")
+    removed(pairs, wanted, bins)
+    return out
+
+
 def _similar(pairs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar, compared exactly. Only the texts in ``pairs`` are cut again."""
+    """The (a, b) of ``pairs`` whose sets are similar, compared exactly. Only the texts of pairs that their bins allow are cut again."""
+    pairs = _binned(pairs, marked)
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = written(_sets(_only(marked.select("node", "text"), wanted, "node"), shingle), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -187,7 +207,7 @@ def _marked(df: DataFrame, text: str, shingle: int) -> tuple[DataFrame, str, str
     """``df`` as a written table with the place of each row and the marks of its text; and the names of these two columns."""
     place, mark = free_name(df, "place"), free_name(df, "mark")
     order = _common_shingles(df.select(F.col(text).alias("text")), shingle)
-    make = text_udf(df.sparkSession, lambda: _mark_batch(shingle, order), "fp long, n int, sim long, prefix array<long>")
+    make = text_udf(df.sparkSession, lambda: _mark_batch(shingle, order), "fp long, n int, sim long, prefix array<long>, bins array<int>")
     return written(df.select("*", F.monotonically_increasing_id().alias(place), make(F.col(text)).alias(mark)), "marked"), place, mark
 
 

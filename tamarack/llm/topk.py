@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import written
-from tamarack.session import ship_package, table
+from tamarack.llm.common import prepare, written
+from tamarack.session import table
 
 K, SCALE = 10, 1024
 #: Vectors of a shard (one posting index) and queries of a block: bounds of memory, not of the result.
@@ -218,7 +218,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "e
     Scores beyond a signed 64-bit number are cut to it before they are ranked. Other columns of ``vectors``
     are not read. Empty in, empty out.
     """
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").where(finite)
     asking = clean.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))

@@ -21,8 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import checked_broadcast, written
-from tamarack.session import ship_package, table
+from tamarack.llm.common import checked_broadcast, prepare, written
+from tamarack.session import table
 
 MAGIC = 0x184D2A5D
 #: An archive is closed at this many payload bytes or records; its dictionary is trained on its first records.
@@ -210,7 +210,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payloads do not move unless so many of them are repeated that their digests can't be broadcast. Empty in, empty out;
     other columns of ``pages`` are not read.
     """
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sum", F.sha1("payload"))
     keyed = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select("page_id", F.octet_length("payload").alias("size"), F.sha1("payload").alias("twin"))
     twins = keyed.where(F.col("size") >= min_bytes).groupBy("twin", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("twin", "size", "last")
@@ -221,7 +221,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload of every record; fails on damage."""
-    ship_package(archives.sparkSession)
+    prepare(archives.sparkSession)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return archives.select(F.col(column).alias("archive")).where("archive is not null").mapInArrow(_unpack, schema)
 
