@@ -77,6 +77,27 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
+_KEPT: dict[tuple, object] = {}
+_USED: set[tuple] = set()
+
+
+def kept(key: tuple, build: Callable[[], object]) -> object:
+    """``build()``, made once in a process; a Python worker lets go of it when a task of ``text_udf`` begins that does not ask for it."""
+    _USED.add(key)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def _begun(make: Callable) -> Callable:
+    """``make()``, after which the worker holds only the tables that it asked for."""
+    _USED.clear()
+    work = make()
+    for key in [k for k in _KEPT if k not in _USED]:
+        del _KEPT[key]
+    return work
+
+
 def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], schema: str) -> Callable[..., Column]:
     """An Arrow UDF over whole columns of values.
 
@@ -90,7 +111,7 @@ def text_udf(spark: SparkSession, make: Callable[[], Callable[[list], dict]], sc
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        work = make()
+        work = _begun(make)
         for columns in batches:
             n, size = len(columns[0]), sum(c.nbytes for c in columns)
             rows = max(1, n * SLICE_BYTES // size) if size > SLICE_BYTES else max(n, 1)

@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import added, documents, text_udf
+from tamarack.llm.common import added, documents, kept, text_udf
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -249,14 +249,9 @@ class PrefixTable:
         return text[1:] if first.startswith(SPACE) else text  # the dummy space in front goes
 
 
-_TABLES: dict[str, PrefixTable] = {}
-
-
 def prefix_table(path: str) -> PrefixTable:
     """The model's table; built once per Python worker."""
-    if path not in _TABLES:
-        _TABLES[path] = PrefixTable(path)
-    return _TABLES[path]
+    return kept(("sentencepiece", path), lambda: PrefixTable(path))
 
 
 def _ids_batch(path: str):
