@@ -34,8 +34,9 @@ BINS = 128
 RADIUS = simhash.RADIUS
 #: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
 SAMPLE, COMMON = 10_000, 200_000
-#: Star rounds before all open pairs of a bucket are compared, and open pairs for each row from which they pay.
-STAR_ROUNDS, DENSE = 6, 4
+#: Turns in which a bucket's neighbours are compared before all its open pairs are, open pairs for each row from which another turn pays, and the bits
+#: by which fingerprints rotate from turn to turn.
+TURNS, DENSE, TURN = 4, 2, 11
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -111,45 +112,45 @@ def _simhash_pairs(reps: DataFrame) -> DataFrame:
 
 
 def _buckets(marked: DataFrame, reps: DataFrame) -> DataFrame:
-    """(h, node, n, pos): the sets that share a prefix shingle with another one."""
-    places = _only(marked, reps.select("node"), "node").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    """(h, node, n, pos, sim): the sets that share a prefix shingle with another one."""
+    places = _only(marked, reps.select("node"), "node").select("node", "n", "sim", F.posexplode("prefix").alias("pos", "h"))
     shared = places.withColumn("members", F.count("*").over(Window.partitionBy("h"))).where("members > 1")
-    return written(shared.select("h", "node", "n", "pos"), "buckets")
+    return written(shared.select("h", "node", "n", "pos", "sim"), "buckets")
 
 
 SIZES = f"{WHOLE} * least(l.n, r.n) >= {PARTS} * greatest(l.n, r.n)"
 
 
-def _star_pairs(state: DataFrame, turn: int) -> DataFrame:
-    """(a, b) open pairs of every member of a bucket with one member of it, another one each turn."""
-    centre = state.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("c"))
-    centre = written(centre.select("h", "c.node", "c.n", "c.pos", "c.root"), "centres")
-    met = state.alias("l").join(centre.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.root <> r.root and {SIZES}")
-    out = _able(met)
-    removed(centre)
-    return out
+def _next_pairs(state: DataFrame, turn: int) -> DataFrame:
+    """(a, b) open pairs of neighbours: the members of a bucket in the order of their fingerprints, which another rotation of the bits makes each turn."""
+    shift = turn * TURN % simhash.BITS
+    order = F.shiftleft("sim", shift).bitwiseOR(F.shiftrightunsigned("sim", simhash.BITS - shift)) if shift else F.col("sim")
+    ahead = F.lag(F.struct("node", "n", "pos", "root")).over(Window.partitionBy("h").orderBy(order, "node"))
+    met = state.select(F.struct("node", "n", "pos", "root").alias("l"), ahead.alias("r")).where(f"r is not null and l.root <> r.root and {SIZES}")
+    return written(met.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct(), "pairs")
 
 
 def _every_pair(state: DataFrame) -> DataFrame:
-    """(a, b) of all open pairs."""
-    return _able(state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES}"))
-
-
-def _able(met: DataFrame) -> DataFrame:
-    """(a, b) of the pairs in ``met`` (sides l and r, a row for each shared prefix shingle) whose prefixes allow the similarity.
+    """(a, b) of all open pairs whose shared prefix shingles allow the similarity.
 
     What two sets share is in both prefixes, or in the rest of the one whose prefix ends first: so their
     shared prefix shingles and the longer rest together bound it from above.
     """
+    met = state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES}")
     sized = met.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.struct("l.pos", F.col("r.pos").alias("other"))).alias("first"), F.min("l.n").alias("na"), F.min("r.n").alias("nb"))
     rest = lambda n: F.floor(F.col(n) * PARTS / WHOLE) - F.when(F.col(n) * PARTS % WHOLE == 0, 1).otherwise(0)  # noqa: E731  n less its prefix
     most = F.least(F.col("c") + F.greatest(rest("na"), rest("nb")), F.col("na") - F.col("first.pos"), F.col("nb") - F.col("first.other"))
     return written(sized.where(OVERLAP * most >= PARTS * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node): everything that is in a pair; each side is reduced before it moves."""
+    return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 def _binned(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose counts in the bins allow the similarity: they share at most the smaller count of each bin."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    wanted = written(_ends(pairs), "wanted")
     bins = written(_only(marked.select("node", "n", "bins"), wanted, "node"), "bins")
     one, two = (bins.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
     least = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
@@ -161,7 +162,7 @@ def _binned(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar, compared exactly. Only the texts of pairs that their bins allow are cut again."""
     pairs = _binned(pairs, marked)
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    wanted = written(_ends(pairs), "wanted")
     sets = written(_sets(_only(marked.select("node", "text"), wanted, "node"), shingle), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
@@ -174,22 +175,22 @@ def _roots(marked: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(node, root) of the sets that are joined by similarity.
 
     After the links of the fingerprints, pairs of one component need no comparison. While the open pairs
-    outnumber the rows by far, each bucket first compares its members with one of them, another one each
-    round; a large group of near copies closes in these. Then every pair still open is compared.
+    outnumber the rows by far, each bucket first compares members that are neighbours in the order of their fingerprints, in another
+    order each turn; a large group of near copies closes in these. Then every pair still open is compared.
     """
     found = _similar(_simhash_pairs(reps), marked, shingle)
     roots = simhash.components(found)
     removed(found)
     buckets = _buckets(marked, reps)
     rows = buckets.count()
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(TURNS + 1):
         joined = buckets.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        state = written(joined.select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "state")
+        state = written(joined.select("h", "node", "n", "pos", "sim", F.coalesce("root", "node").alias("root")), "state")
         sizes = state.groupBy("h", "root").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         still = (sizes.agg(F.sum(F.col("m") * F.col("m") - F.col("own"))).first()[0] or 0) / 2
-        every = still <= DENSE * rows or turn == STAR_ROUNDS
+        every = still <= DENSE * rows or turn == TURNS
         if still:
-            found = _similar(_every_pair(state) if every else _star_pairs(state, turn), marked, shingle)
+            found = _similar(_every_pair(state) if every else _next_pairs(state, turn), marked, shingle)
             after = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
             removed(found, roots)
             roots = after
