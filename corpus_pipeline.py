@@ -9,7 +9,8 @@ is written as Parquet and read again for the next stage. All but the last return
 4. mixing: each source comes as often as its budget has it; every document stays at least once.
 5. sentencepiece: ids and decoded text of every remaining row, as digests.
 
-Stages handle null texts and ids, repeated rows and empty tables as their operators state.
+Stages keep null and empty texts, null ids and repeated rows as their operators state; columns that are not named here
+pass through unchanged, whatever their names, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,28 +18,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import mixing, pii, sentencepiece_bpe, simhash, toxicity
-from tamarack.llm.common import documents, written
+from tamarack.llm import mixing, pii, sentencepiece_bpe, similar, toxicity
+from tamarack.llm.common import documents, removed, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the classifier's threshold for their language; the labels train it and are no input of a score."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: the smallest id, first by SimHash links, then by all similar shingle sets."""
+    return similar.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data as its kind in angle brackets; null texts stay null."""
     masked = pii.mask(docs)
     return masked.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as its source's budget has it, at least once."""
     return mixing.mix(docs)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each row's ids, and the digest of the text decoded from them."""
     return sentencepiece_bpe.digests(docs, sentencepiece_bpe.default_model())
 
 
@@ -58,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        removed(docs)  # tables of earlier stages; the input is none
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,6 +37,11 @@ def compact(c):
     return F.lower(F.regexp_replace(c, "[ \\-_.]+", ""))
 
 
+def compact_text(c):
+    """Lower-cased text without white space and listing marks."""
+    return F.lower(F.regexp_replace(c, r"[\s,，。；;：:\[\]（）()、+]+", ""))
+
+
 def slug(c):
     """File-name form: path-illegal characters and spaces become one dash; ``untitled`` if nothing is left."""
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(c, r"[\\/:*?\"<>|\s]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("untitled"))
@@ -48,9 +53,15 @@ def once(c, use):
 
 
 def chunks(c, size: int, stride: int):
-    """Fixed-size pieces of a text; the last one may be a suffix of the one before. Empty texts have none."""
-    none = F.array().cast("array<string>")
-    return once(c, lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(stride)), lambda i: F.substring(x, i + 1, size))).otherwise(none))
+    """Fixed-size pieces of a text; the last one may be a suffix of the one before. Empty and null texts have none.
+
+    The text is cut into strides in one pass; a piece is its stride and the start of the next one, so the work is linear
+    in the length. The overlap must not be longer than the stride.
+    """
+    if not stride <= size <= 2 * stride:
+        raise ValueError("size must be between one stride and two")
+    blocks = F.coalesce(F.regexp_extract_all(c, F.lit(f"(?s)(.{{1,{stride}}})"), F.lit(1)), F.array().cast("array<string>"))
+    return once(blocks, lambda b: F.transform(b, lambda x, i: F.concat(x, F.left(F.coalesce(F.get(b, i + 1), F.lit("")), F.lit(size - stride)))))
 
 
 def char_ngrams(c, n: int):

@@ -197,7 +197,7 @@ def chunk_documents(spark, d):
 
 @query("chunk_stats", """SELECT lang, CAST(sum(ceil(length(text) / 440.0)) AS BIGINT) AS chunks, count(*) AS docs FROM documents GROUP BY lang""")
 def chunk_stats(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.sum(F.size(X.chunks(F.col("text"), 520, 440))).cast("long").alias("chunks"), F.count("*").alias("docs"))
+    return t(spark, d, "documents").groupBy("lang").agg(F.sum(F.ceil(F.length("text") / 440)).cast("long").alias("chunks"), F.count("*").alias("docs"))
 
 
 @query("distinct_ngrams", """WITH g AS (SELECT source, substr(x, CAST(i AS BIGINT), 4) AS gram FROM (SELECT source, x, unnest(range(1, length(x) - 2)) AS i FROM (SELECT source, regexp_replace(lower(text), '[^a-z]', '', 'g') AS x FROM documents) WHERE length(x) >= 4)) SELECT source, round(count(DISTINCT gram) / count(*), 6) AS distinct_4 FROM g GROUP BY source""")

@@ -166,5 +166,5 @@ UNION ALL SELECT 'duplicates', 'P3', 45 FROM (SELECT count(*) - count(DISTINCT t
 def optimization_items(spark, d):
     rate = F.col("rate")
     s = _summary(_fb(spark, d), "pool").select(F.col("pool").alias("item"), F.when(rate < 19, "P0").when(rate < 20, "P1").otherwise("P2").alias("priority"), F.when(rate < 19, 100).when(rate < 20, 85).otherwise(65).alias("weight"))
-    dup = t(spark, d, "documents").agg((F.count("*") - F.countDistinct("text")).alias("n")).where("n > 0").select(F.lit("duplicates"), F.lit("P3"), F.lit(45))
+    dup = t(spark, d, "documents").agg((F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("n")).where("n > 0").select(F.lit("duplicates"), F.lit("P3"), F.lit(45))
     return s.union(dup)

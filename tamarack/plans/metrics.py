@@ -142,7 +142,7 @@ def size_histogram(spark, d):
 
 @query("uniqueness_ratio", """SELECT source, round(count(DISTINCT text) / count(*), 6) AS ratio, count(*) FILTER (text IS NULL) AS nulls FROM documents GROUP BY source""")
 def uniqueness_ratio(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.round(F.countDistinct("text") / F.count("*"), 6).alias("ratio"), F.count_if(F.col("text").isNull()).alias("nulls"))
+    return t(spark, d, "documents").groupBy("source").agg(F.round(F.countDistinct(F.sha2("text", 256)) / F.count("*"), 6).alias("ratio"), F.count_if(F.col("text").isNull()).alias("nulls"))
 
 
 @query("generation_summary", """SELECT coalesce(event_type, 'all') AS intent, count(*) AS attempted, count(*) FILTER (value < 150) AS accepted, round(100.0::DOUBLE * count(*) FILTER (value >= 300) / count(*), 2) AS truncated_pct, CASE WHEN 100.0::DOUBLE * count(*) FILTER (value >= 300) / count(*) >= 5 THEN 'stop' ELSE 'go' END AS gate FROM events GROUP BY ROLLUP (event_type)""")
