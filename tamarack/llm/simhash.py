@@ -341,13 +341,6 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return rows.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``similar.keep_one``: one document of each near-duplicate group."""
-    from tamarack.llm import similar
-
-    return similar.keep_one(docs, **params)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = fingerprint_groups(documents(spark, sf_dir))
