@@ -100,7 +100,7 @@ def bonus() -> Column:
 
 def reasons(parts: dict[str, Column]) -> Column:
     """Texts for a row, in their fixed order."""
-    points = lambda label, name: F.concat(F.lit(f"{label}匹配度 "), F.round(parts[name]).cast("long").cast("string"), F.lit(" 分"))
+    points = lambda label, name: F.concat(F.lit(f"{label}匹配度 "), rounded(parts[name], 0).cast("long").cast("string"), F.lit(" 分"))
     social = F.when(F.col("brand").isin(*KNOWN_LUXURY), REASONS["luxury"]).when(F.col("brand").isin(*TECHNICAL), REASONS["technical"])
     listed = [
         F.when(mentioned(), REASONS["mentioned"]),
@@ -126,6 +126,11 @@ def cautions(most: int = 3) -> Column:
     return F.slice(F.array_compact(F.array(*listed)), 1, most)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half up; through six decimals, so that a sum of decimals rounds by its decimal value and not by its last binary digit."""
+    return F.round(F.round(x, 6), places)
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Pairs of a profile and a catalog row with score, seven rounded sub-scores, reasons, cautions and ``is_mentioned``.
 
@@ -133,9 +138,9 @@ def scored(pairs: DataFrame) -> DataFrame:
     """
     parts = sub_scores()
     total = reduce(lambda a, b: a + b, (parts[n] * F.lit(w) for n, w in WEIGHTS.items())) + bonus()
-    rounded = [F.round(F.least(parts[n], F.lit(100.0)) if n == "smart" else parts[n], 1).alias(f"{n}_score") for n in NAMES]
+    subs = [rounded(F.least(parts[n], F.lit(100.0)) if n == "smart" else parts[n], 1).alias(f"{n}_score") for n in NAMES]
     taken = {f"{n}_score" for n in NAMES}
-    return pairs.select(*(c for c in pairs.columns if c not in taken), F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 1).alias("score"), *rounded, reasons(parts).alias("reasons"), cautions().alias("cautions"), mentioned().alias("is_mentioned"))
+    return pairs.select(*(c for c in pairs.columns if c not in taken), rounded(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 1).alias("score"), *subs, reasons(parts).alias("reasons"), cautions().alias("cautions"), mentioned().alias("is_mentioned"))
 
 
 def recommend(profiles: DataFrame, catalog: DataFrame, key: str, id_col: str, k: int = 5) -> DataFrame:

@@ -83,9 +83,9 @@ u AS (SELECT *,
   CASE WHEN NOT typed THEN 0 WHEN fits THEN 10 ELSE -10 END
     + CASE WHEN list_contains(concerns, '社交形象') THEN CASE WHEN brand IN {_in(R.LUXURY)} THEN 22 WHEN {_any("brand || ';' || suitable_scenarios || ';' || highlights", R.LUXURY_WORDS)} THEN 12 ELSE 0 END ELSE 0 END
     + CASE WHEN fam >= 4 AND vehicle_type = 'MPV' THEN 10 ELSE 0 END AS extra FROM d),
-s AS (SELECT *, round(least(greatest(s1 * 0.25::DOUBLE + s2 * 0.2::DOUBLE + s3 * 0.15::DOUBLE + s4 * 0.15::DOUBLE + s5 * 0.1::DOUBLE + s6 * 0.1::DOUBLE + s7 * 0.05::DOUBLE + extra, 0.0::DOUBLE), 100.0::DOUBLE), 1) AS score FROM u),
+s AS (SELECT *, round(round(least(greatest(s1 * 0.25::DOUBLE + s2 * 0.2::DOUBLE + s3 * 0.15::DOUBLE + s4 * 0.15::DOUBLE + s5 * 0.1::DOUBLE + s6 * 0.1::DOUBLE + s7 * 0.05::DOUBLE + extra, 0.0::DOUBLE), 100.0::DOUBLE), 6), 1) AS score FROM u),
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile ORDER BY named DESC, score DESC, monthly_sales DESC, id) AS INT) AS rank FROM s)"""
-PARTS_SQL = ", ".join(f"round({'least(s5, 100.0::DOUBLE)' if i == 4 else f's{i + 1}'}, 1) AS {n}_score" for i, n in enumerate(R.NAMES))
+PARTS_SQL = ", ".join(f"round(round({'least(s5, 100.0::DOUBLE)' if i == 4 else f's{i + 1}'}, 6), 1) AS {n}_score" for i, n in enumerate(R.NAMES))
 
 
 @query("recommend_scores", f"WITH {CARS_SQL}, {ASKS_SQL}, {SCORED_SQL} SELECT profile, rank, id, score, named AS is_mentioned, {PARTS_SQL} FROM best WHERE rank <= 5")
@@ -94,7 +94,7 @@ def recommend_scores(spark, d):
     return R.recommend(asks(spark, d), cars(spark, d), "profile", "id").select("profile", "rank", "id", "score", "is_mentioned", *(f"{n}_score" for n in R.NAMES))
 
 
-REASONS_SQL = f"""array_to_string(list_filter([CASE WHEN named THEN '{R.REASONS["mentioned"]}' END, '预算匹配度 ' || CAST(round(s1) AS BIGINT) || ' 分', '续航匹配度 ' || CAST(round(s2) AS BIGINT) || ' 分', '空间匹配度 ' || CAST(round(s3) AS BIGINT) || ' 分',
+REASONS_SQL = f"""array_to_string(list_filter([CASE WHEN named THEN '{R.REASONS["mentioned"]}' END, '预算匹配度 ' || CAST(round(round(s1, 6)) AS BIGINT) || ' 分', '续航匹配度 ' || CAST(round(round(s2, 6)) AS BIGINT) || ' 分', '空间匹配度 ' || CAST(round(round(s3, 6)) AS BIGINT) || ' 分',
   CASE WHEN NOT has_home_charger AND energy_type IN ('插混', '增程') THEN '{R.REASONS["no_charger"]}' END, CASE WHEN list_contains(concerns, '智驾') AND contains(adas_level, '+') THEN '{R.REASONS["smart"]}' END, CASE WHEN list_contains(concerns, '空间') AND vehicle_type = 'SUV' THEN '{R.REASONS["space"]}' END,
   CASE WHEN list_contains(concerns, '社交形象') THEN CASE WHEN brand IN {_in(R.KNOWN_LUXURY)} THEN '{R.REASONS["luxury"]}' WHEN brand IN {_in(R.TECHNICAL)} THEN '{R.REASONS["technical"]}' END END], lambda x: x IS NOT NULL), '|')"""
 CAUTIONS_SQL = f"""array_to_string(list_filter([CASE WHEN price_min > b THEN '{R.CAUTIONS["price"]}' END, CASE WHEN energy_type = '纯电' AND NOT has_home_charger THEN '{R.CAUTIONS["charging"]}' END, CASE WHEN cltc_range < 550 AND list_contains(concerns, '续航') THEN '{R.CAUTIONS["range"]}' END, nullif(weaknesses, '')], lambda x: x IS NOT NULL)[1:3], '|')"""

@@ -89,10 +89,10 @@ def terminal_distribution(spark, d):
 # ---------------------------------------------------------------- runs and windows
 
 
-@query("window_by_intent", """SELECT CAST(event_id // 50 AS BIGINT) AS win, event_type AS intent, count(*) AS steps, round(avg(value), 4) AS mean, round(avg(CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS fail_rate FROM events GROUP BY ALL""")
+@query("window_by_intent", """SELECT CAST(event_id // 50 AS BIGINT) AS win, event_type AS intent, count(*) AS steps, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS fail_rate FROM events GROUP BY ALL""")
 def window_by_intent(spark, d):
     """Means of each intent inside a window of 50 steps."""
-    return t(spark, d, "events").groupBy(F.floor(F.col("event_id") / 50).alias("win"), F.col("event_type").alias("intent")).agg(F.count("*").alias("steps"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg(F.when(F.col("value") > 100, 1.0).otherwise(0.0)), 4).alias("fail_rate"))
+    return t(spark, d, "events").groupBy(F.floor(F.col("event_id") / 50).alias("win"), F.col("event_type").alias("intent")).agg(F.count("*").alias("steps"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(F.col("value") > 100, 1.0).otherwise(0.0)), 4).alias("fail_rate"))
 
 
 @query("best_checkpoint", """SELECT p_brand, arg_min(p_partkey, CAST(p_size AS BIGINT) * 100000000 + p_partkey) AS checkpoint, min(p_size) AS loss FROM part GROUP BY p_brand""")
