@@ -7,8 +7,10 @@ exactly, so every similar pair that is left comes from shared rare shingles, whi
 similarity share a shingle among the first fifth of each in one common order. The order puts rare
 shingles first; a sample tells which are common, so it sets the work and never the result.
 
-Candidates pass two bounds before texts are cut again: what their prefixes share, and how many shingles they have in each
-of ``BINS`` bins of the hash, which says at most how many they can share.
+Candidates pass three bounds before texts are cut again: how many bits of their parity maps differ (a bit tells whether an odd
+number of a set's shingles fall on it, so each differing bit needs a shingle that only one of the sets has), what their
+prefixes share, and how many shingles they have in each of ``BINS`` bins of the hash. The first is part of the join
+that makes all open pairs of a bucket, so pairs that it rules out are never made.
 
 Texts are read, cut and hashed once, into a table that also holds the rows themselves; a row is known by its place
 there. Only the texts of candidate pairs are cut again, and no text is shuffled where the places to
@@ -29,8 +31,8 @@ SHINGLE = 5
 #: The similarity as a fraction: PARTS / WHOLE. ``OVERLAP``: shared shingles of two sets are at least PARTS / OVERLAP of both sizes together.
 PARTS, WHOLE = 4, 5
 OVERLAP = PARTS + WHOLE
-#: Bins in which the shingles of a set are counted.
-BINS = 128
+#: Bins in which the shingles of a set are counted, and words of 64 bits in its parity map.
+BINS, PARITY = 128, 4
 RADIUS = simhash.RADIUS
 #: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
 SAMPLE, COMMON = 10_000, 200_000
@@ -46,10 +48,16 @@ def prefix_size(n: int) -> int:
     return n + (-n * PARTS // WHOLE) + 1
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """The parity map of a set of hashes: a bit of PARITY words is set if an odd number of them fall on it."""
+    bits = np.bincount((found % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _mark_batch(shingle: int, order):
     def batch(texts: list) -> dict:
         known, counts = order.value
-        out: dict[str, list] = {"fp": [], "n": [], "sim": [], "prefix": [], "bins": []}
+        out: dict[str, list] = {"fp": [], "n": [], "sim": [], "prefix": [], "bins": [], "parity": []}
         for text in texts:
             hashes = simhash.shingle_hashes(text, shingle)
             found = np.unique(hashes)
@@ -58,6 +66,7 @@ def _mark_batch(shingle: int, order):
             out["fp"].append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED)).view(np.int64)) if n else 0)
             out["n"].append(n)
             out["bins"].append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=BINS) if n else [])
+            out["parity"].append(_parity(found))
             if n:
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known):
@@ -130,9 +139,16 @@ def _star_pairs(state: DataFrame, turn: int) -> DataFrame:
     return out
 
 
-def _every_pair(state: DataFrame) -> DataFrame:
-    """(a, b) of all open pairs."""
-    return _able(state.alias("l").join(state.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES}"))
+#: Sets of the similarity differ in at most so many shingles, and in a differing bit of their parity maps they differ in at least one.
+APART = " + ".join(f"bit_count(l.p{i} ^ r.p{i})" for i in range(PARITY))
+PARITIES = f"{OVERLAP} * ({APART}) <= {OVERLAP - 2 * PARTS} * (l.n + r.n)"
+
+
+def _every_pair(state: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of all open pairs whose parity maps allow the similarity."""
+    parities = checked_broadcast(reps.select(F.col("node").alias("member"), *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY))))
+    known = state.join(parities, F.col("node") == F.col("member")).drop("member")
+    return _able(known.alias("l").join(known.alias("r"), F.col("l.h") == F.col("r.h")).where(f"l.node > r.node and l.root <> r.root and {SIZES} and {PARITIES}"))
 
 
 def _able(met: DataFrame) -> DataFrame:
@@ -189,7 +205,7 @@ def _roots(marked: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
         still = (sizes.agg(F.sum(F.col("m") * F.col("m") - F.col("own"))).first()[0] or 0) / 2
         every = still <= DENSE * rows or turn == STAR_ROUNDS
         if still:
-            found = _similar(_every_pair(state) if every else _star_pairs(state, turn), marked, shingle)
+            found = _similar(_every_pair(state, reps) if every else _star_pairs(state, turn), marked, shingle)
             after = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
             removed(found, roots)
             roots = after
@@ -207,14 +223,14 @@ def _marked(df: DataFrame, text: str, shingle: int) -> tuple[DataFrame, str, str
     """``df`` as a written table with the place of each row and the marks of its text; and the names of these two columns."""
     place, mark = free_name(df, "place"), free_name(df, "mark")
     order = _common_shingles(df.select(F.col(text).alias("text")), shingle)
-    make = text_udf(df.sparkSession, lambda: _mark_batch(shingle, order), "fp long, n int, sim long, prefix array<long>, bins array<int>")
+    make = text_udf(df.sparkSession, lambda: _mark_batch(shingle, order), "fp long, n int, sim long, prefix array<long>, bins array<int>, parity array<long>")
     return written(df.select("*", F.monotonically_increasing_id().alias(place), make(F.col(text)).alias(mark)), "marked"), place, mark
 
 
 def _classes(table: DataFrame, text: str, place: str, mark: str, shingle: int) -> DataFrame:
     """(fp, root) written: the component of every shingle set of the marked table. The first row of a set stands for it."""
     marked = table.select(F.col(place).alias("node"), F.col(text).alias("text"), f"{mark}.*")
-    first = marked.groupBy("fp").agg(F.min(F.struct("node", "n", "sim")).alias("first"))
+    first = marked.groupBy("fp").agg(F.min_by(F.struct("node", "n", "sim", "parity"), "node").alias("first"))
     reps = written(first.select("fp", "first.*"), "reps")
     roots = _roots(marked, reps, shingle)
     joined = reps.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")

@@ -332,6 +332,18 @@ def test_rows_of_one_id_in_different_groups_both_stay(spark):
     assert Counter((r["doc_id"], r["text"].lower()) for r in kept) == Counter([(1, "a b c d e f"), (1, "u v w x y z"), (None, "k l m n o p")])
 
 
+def test_parity_maps_never_rule_out_similar_sets():
+    random.seed(7)
+    for n in (1, 2, 9, 60, 450, 5000):
+        for _ in range(40):
+            whole = np.array([random.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+            one, two = (np.unique(whole[[random.random() > cut for _ in range(n)]]) for cut in (random.random() * 0.2, random.random() * 0.2))
+            apart = sum(int(x).bit_count() for x in (similar._parity(one) ^ similar._parity(two)).view(np.uint64))
+            assert apart <= len(np.setxor1d(one, two))
+            if similar.OVERLAP * len(np.intersect1d(one, two)) >= similar.PARTS * (len(one) + len(two)):
+                assert similar.OVERLAP * apart <= (similar.OVERLAP - 2 * similar.PARTS) * (len(one) + len(two))
+
+
 def test_large_groups_of_edited_copies(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
