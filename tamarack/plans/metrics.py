@@ -164,8 +164,7 @@ cs AS (SELECT item_id, doc_id, sum(wq * wd) / (any_value(nq) * any_value(nd)) AS
 
 @query("tfidf_topk", f"WITH {COSINE_SQL}, r AS (SELECT item_id, doc_id, round(cosine, 4) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 4) DESC, doc_id) AS INT) AS rank FROM cs) SELECT * FROM r WHERE rank <= 5")
 def tfidf_topk(spark, d):
-    cs = R.tfidf_cosine(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", F.round("cosine", 4).alias("score"))
-    return cs.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 5")
+    return R.top_documents(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), "doc_id", "item_id", 5)
 
 
 HIT_SQL = "len(list_filter(terms, lambda x: contains(low, x))) / len(terms)"
