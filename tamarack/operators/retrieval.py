@@ -452,38 +452,3 @@ def top_documents(docs: DataFrame, queries: DataFrame, doc_key: str, query_key:
     removed(found)
     ranked = best.select(F.col("item").alias(query_key), F.col("doc").alias(doc_key), F.round("score", DECIMALS).alias("score"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key))).where(f"rank <= {k}")
-
-
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of word 1- and 2-grams; words are cut once."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))), 1)
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf_cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str) -> DataFrame:
-    """(query, doc, cosine) of all pairs that share a term; weights tf * (ln((1 + n) / (1 + df)) + 1), L2-normed.
-
-    A document's weights are gathered once: its norm over all terms, and the weights of the terms that any query asks for.
-    """
-    counts = term_counts(docs, doc_key, "text")
-    n = docs.select(F.count("*").alias("n"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    asked_counts = term_counts(queries, query_key, "text")
-    terms = asked_counts.select("term").distinct().withColumn("asked", F.lit(True))
-    known = idf.join(terms, "term", "left")
-    weighted = counts.join(known, "term").select(doc_key, "term", "asked", (F.col("tf") * F.col("idf")).alias("wd"))
-    hits = F.collect_list(F.when(F.col("asked"), F.struct("term", "wd")))
-    of_docs = weighted.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"), hits.alias("hits"))
-    asked = asked_counts.join(idf, "term").select(query_key, "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    norm_q = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    flat = of_docs.select(doc_key, "nd", F.explode("hits").alias("hit")).select(doc_key, "nd", "hit.term", "hit.wd")
-    dots = flat.join(asked, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"), F.max("nd").alias("nd"))
-    return dots.join(norm_q, query_key).select(query_key, doc_key, (F.col("dot") / (F.col("nq") * F.col("nd"))).alias("cosine"))
-
-
-def hit_fraction(query, text):
-    """Share of a query's space-separated terms that occur in the lower-cased text."""
-    terms = F.filter(F.split(F.lower(query), " "), lambda x: x != "")
-    return F.size(F.filter(terms, lambda x: F.contains(text, x))) / F.size(terms)

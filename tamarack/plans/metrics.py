@@ -174,10 +174,7 @@ HIT_SQL = "len(list_filter(terms, lambda x: contains(low, x))) / len(terms)"
 r AS (SELECT item_id, doc_id, round(0.68::DOUBLE * cosine + 0.32::DOUBLE * ({HIT_SQL}), 4) AS score FROM h) SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r QUALIFY rank <= 5""")
 def hybrid_retrieval(spark, d):
     """Cosine and term-hit fraction, fused; only pairs that share a term can score."""
-    docs, asks = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark")
-    cs = R.tfidf_cosine(docs, asks, "doc_id", "item_id").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id").join(asks.select("item_id", F.col("text").alias("ask")), "item_id")
-    r = cs.select("item_id", "doc_id", F.round(R.COSINE * F.col("cosine") + R.HITS * R.hit_fraction(F.col("ask"), F.col("low")), 4).alias("score"))
-    return r.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 5")
+    return R.top_documents(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), "doc_id", "item_id", 5, hits=True)
 
 
 LINKS_SQL = """l AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1))) AS links FROM pages), t AS (SELECT lower(regexp_extract(html, '<title>([A-Za-z]+)', 1)) AS title, max(page_id) AS page_id FROM pages GROUP BY title)"""

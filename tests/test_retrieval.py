@@ -31,7 +31,7 @@ def shuffled(spark) -> int:
 
 
 @pytest.mark.parametrize("sizes", [(8 << 20, 1 << 17), (256, 8)], ids=["whole", "small"])
-@pytest.mark.parametrize("name", ["tfidf_topk"])
+@pytest.mark.parametrize("name", ["tfidf_topk", "hybrid_retrieval"])
 def test_odd_tables(spark, tmp_path, monkeypatch, name, sizes):
     monkeypatch.setattr(retrieval, "CHUNK_BYTES", sizes[0])
     monkeypatch.setattr(retrieval, "SCORES", sizes[1])
@@ -45,7 +45,7 @@ def test_odd_tables(spark, tmp_path, monkeypatch, name, sizes):
     assert Counter(tuple(r[i] for i in places) for r in df.collect()) == Counter(result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["tfidf_topk"])
+@pytest.mark.parametrize("name", ["tfidf_topk", "hybrid_retrieval"])
 def test_no_pairs_are_shuffled(spark, name):
     folder = "/root/testdata/sf0.01"
     size = sum(len((r[0] or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect())
