@@ -20,11 +20,12 @@ look up are few enough to broadcast.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm import simhash
+from tamarack.llm import common, simhash
 from tamarack.llm.common import checked_broadcast, free_name, removed, text_udf, written
 
 SHINGLE = 5
@@ -36,8 +37,9 @@ BINS, PARITY = 128, 4
 RADIUS = simhash.RADIUS
 #: Rows and shingles of the sample that tells common shingles from rare ones. It sets their order, never the result.
 SAMPLE, COMMON = 10_000, 200_000
-#: Star rounds before all open pairs of a bucket are compared, and open pairs for each row from which they pay.
-STAR_ROUNDS, DENSE = 6, 4
+#: Star rounds before all open pairs of a bucket are compared; members from which a bucket is large, and open pairs of large buckets for each row
+#: from which star rounds pay. They set the work and never the result.
+STAR_ROUNDS, LARGE, DENSE = 6, 64, 4
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -186,15 +188,34 @@ def _similar(pairs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
     return found
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, root) of ``edges`` (a, b), as ``simhash.components``; up to BROADCAST_KEYS edges are joined on the driver, without its rounds of jobs."""
+    if edges.count() > common.BROADCAST_KEYS:
+        return simhash.components(edges)
+    table = edges.select("a", "b").where("a <> b").toArrow()
+    ends = np.concatenate((table["a"].to_numpy(), table["b"].to_numpy())).astype(np.int64)
+    nodes, place = np.unique(ends, return_inverse=True)
+    root, (a, b) = np.arange(len(nodes)), place.reshape(2, -1)
+    while (apart := root[a] != root[b]).any():
+        one, two = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root != (up := root[root])).any():
+            root = up
+    moved = root != np.arange(len(nodes))
+    found = pa.table({"node": nodes[moved], "root": nodes[root[moved]]})
+    return written(edges.sparkSession.createDataFrame(found, "node long, root long"), "roots")
+
+
 def _roots(marked: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(node, root) of the sets that are joined by similarity.
 
     After the links of the fingerprints, pairs of one component need no comparison. While the open pairs
-    outnumber the rows by far, each bucket first compares its members with one of them, another one each
-    round; a large group of near copies closes in these. Then every pair still open is compared.
+    of large buckets outnumber the rows by far, each bucket first compares its members with one of them, another one each
+    round; a large group of near copies closes in these. Then every pair still open is compared. In smaller buckets a row has
+    few partners, so that a round costs more than comparing them.
     """
     found = _similar(_simhash_pairs(reps), marked, shingle)
-    roots = simhash.components(found)
+    roots = _components(found)
     removed(found)
     buckets = _buckets(marked, reps)
     rows = buckets.count()
@@ -202,11 +223,12 @@ def _roots(marked: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
         joined = buckets.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
         state = written(joined.select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "state")
         sizes = state.groupBy("h", "root").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        still = (sizes.agg(F.sum(F.col("m") * F.col("m") - F.col("own"))).first()[0] or 0) / 2
-        every = still <= DENSE * rows or turn == STAR_ROUNDS
+        pairs = (F.col("m") * F.col("m") - F.col("own")) / 2
+        still, large = (x or 0 for x in sizes.agg(F.sum(pairs), F.sum(F.when(F.col("m") > LARGE, pairs))).first())
+        every = large <= DENSE * rows or turn == STAR_ROUNDS
         if still:
             found = _similar(_every_pair(state, reps) if every else _star_pairs(state, turn), marked, shingle)
-            after = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+            after = _components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
             removed(found, roots)
             roots = after
         removed(state)
